@@ -81,10 +81,12 @@ def drop_invalid_utf8(raw: Column) -> Column:
 
 
 def strip_specials(text: Column) -> Column:
-    """Each special token's text removed in turn, the rest trimmed after each."""
+    """Each special token's text removed in turn, the rest trimmed after each.
+
+    Decoded tokens hold no white space of their own, so only spaces can be at the ends.
+    """
     for token in SPECIALS:
-        text = F.regexp_replace(F.replace(text, F.lit(token), F.lit("")),
-                                r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+        text = F.trim(F.replace(text, F.lit(token), F.lit("")))
     return text
 
 
