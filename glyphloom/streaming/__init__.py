@@ -1,0 +1,3 @@
+"""Nothing here is stateful: the column functions in ``functions.text`` and the byte
+tokenizer are plain projections, and run unchanged on a streaming DataFrame.
+"""
