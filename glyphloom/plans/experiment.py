@@ -13,7 +13,7 @@ from glyphloom.operators.stream import (layout, pair_counts, store_encoded, stre
 from glyphloom.plans.tokenizers import Tokenizer
 from glyphloom.session import checkpointed, written
 from glyphloom.sources import models
-from glyphloom.sources.corpus import SPLITS
+from glyphloom.sources.corpus import SPLITS, hash_draw
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,8 @@ def prepare(docs: DataFrame, tokenizer: Tokenizer, settings: Settings = Settings
     """
     stored = store_encoded(tokenizer.encode(docs, add_specials=False))
     placed = written(layout(stored, tokenizer.joining), "layout")
-    slice_of = F.pmod(F.xxhash64("doc_id"), F.lit(settings.epochs)).cast("int")
+    slice_of = F.pmod(hash_draw(F.lit("slice"), F.col("doc_id")),
+                      F.lit(settings.epochs)).cast("int")
     pairs = written(pair_counts(stored.withColumn("slice", slice_of), tokenizer.joining,
                                 placed, by=("slice",)), "pairs")
     totals = corpus_totals(docs).join(

@@ -40,12 +40,16 @@ def pick_split(docs: DataFrame, split: str) -> DataFrame:
     return docs.where(F.col("split") == split)
 
 
+def hash_draw(seed: Column, doc_id: Column) -> Column:
+    """A number in 0..2**32 - 1 drawn from seed and id, the same on every run."""
+    digest = F.md5(F.concat(seed, F.lit(":"), doc_id.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
 def seeded_split(docs: DataFrame, test_size: float = 0.1, seed: int = 42) -> DataFrame:
     """Random split by a hash of seed and id: stable under any partitioning."""
-    digest = F.md5(F.concat(F.lit(str(seed)), F.col("doc_id").cast("string")))
-    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     cut = int(round(test_size * 10_000))
-    held_out = F.pmod(draw, F.lit(10_000)) < cut
+    held_out = F.pmod(hash_draw(F.lit(str(seed)), F.col("doc_id")), F.lit(10_000)) < cut
     return docs.withColumn("split", F.when(held_out, "test").otherwise("train"))
 
 
