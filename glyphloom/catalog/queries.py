@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from glyphloom.functions.metrics import METRICS, interior_weight
 from glyphloom.functions.text import SPECIALS, whitespace_tokens
 from glyphloom.operators import bpe, bytelevel, ngram, stream, subword, unigram, word
-from glyphloom.operators.lookup import lookup
+from glyphloom.operators.lookup import keyed, lookup
 from glyphloom.plans import compare, experiment
 from glyphloom.plans.tokenizers import (Tokenizer, bpe_tokenizer, byte_tokenizer,
                                         train_tokenizer, word_tokenizer)
@@ -73,9 +73,8 @@ def word_vocab(spark, sf_dir):
 
 def word_encode(spark, sf_dir):
     docs = corpus.read_documents(spark, sf_dir)
-    tokenizer = _word(spark, docs)
-    return word.word_encode_long(docs, tokenizer.vocab, tokenizer.vocab_size).select(
-        "doc_id", "pos", "id")
+    by_token, _ = word.vocab_keys(_word(spark, docs).vocab)
+    return word.word_encode_long(docs, by_token).select("doc_id", "pos", "id")
 
 
 def word_encode_arrays(spark, sf_dir):
@@ -114,7 +113,7 @@ def language_profile(spark, sf_dir):
     sizes = langs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"),
                                       F.sum(F.char_length("text")).alias("n_chars"))
     tokens = langs.select("lang", F.explode(whitespace_tokens(F.col("text"))).alias("token"))
-    counted = (lookup(tokens, vocab, "token", VOCAB).groupBy("lang")
+    counted = (lookup(tokens, keyed(vocab, "token")).groupBy("lang")
                .agg(F.count(F.lit(1)).alias("n_tokens"),
                     F.count_if(F.col("id").isNull()).alias("n_unk")))
     return sizes.join(counted, "lang").select(
@@ -133,19 +132,22 @@ def alphabet(spark, sf_dir):
     return subword.alphabet(subword.unit_counts(corpus.read_documents(spark, sf_dir)))
 
 
-def _bpe(spark, docs, merges: int, mode: str = "pretokenized") -> Tokenizer:
-    """Trained to a number of merges, saved and loaded again."""
+def _bpe_model(docs, merges: int) -> bpe.BpeModel:
+    """Trained to a number of merges."""
     units = checkpointed(subword.unit_counts(docs))
     size = len(SPECIALS) + subword.alphabet(units).count() + merges
+    return bpe.bpe_train(units, size)
+
+
+def _bpe(spark, docs, merges: int, mode: str = "pretokenized") -> Tokenizer:
+    """Trained, saved and loaded again."""
     path = scratch_path(spark, "bpe")
-    models.save_bpe(bpe.bpe_train(units, size), path)
+    models.save_bpe(_bpe_model(docs, merges), path)
     return bpe_tokenizer(models.load_bpe(spark, path, mode))
 
 
-def bpe_merges_small(spark, sf_dir):
-    units = checkpointed(subword.unit_counts(corpus.read_documents(spark, sf_dir)))
-    size = len(SPECIALS) + subword.alphabet(units).count() + SMALL_MERGES
-    return bpe.bpe_train(units, size).merges
+def bpe_merges(spark, sf_dir):
+    return _bpe_model(corpus.read_documents(spark, sf_dir), MERGES).merges
 
 
 def bpe_vocab(spark, sf_dir):
@@ -309,9 +311,11 @@ def run_metrics_subword(spark, sf_dir):
     """All four tokenizers; small subword vocabularies keep the training short."""
     docs = corpus.read_documents(spark, sf_dir)
     train = corpus.pick_split(docs, "train")
-    raw = _bpe(spark, train, SMALL_MERGES, "raw")
+    path = scratch_path(spark, "bpe")
+    models.save_bpe(_bpe_model(train, SMALL_MERGES), path)
+    raw = bpe_tokenizer(models.load_bpe(spark, path, "raw"))
     tokenizers = [train_tokenizer("word", train, VOCAB), byte_tokenizer(spark),
-                  _bpe(spark, train, SMALL_MERGES), replace(raw, name="bpe-raw"),
+                  bpe_tokenizer(models.load_bpe(spark, path)), replace(raw, name="bpe-raw"),
                   _unigram(spark, train)]
     data = {t.name: experiment.prepare(docs, t, SETTINGS) for t in tokenizers}
     return _rounded(compare.all_runs(data, SETTINGS), *METRICS, "nll_plain", "unk_rate")
@@ -367,7 +371,7 @@ QUERIES: dict[str, Query] = {
     "language_profile": language_profile,
     "pretoken_counts": pretoken_counts,
     "alphabet": alphabet,
-    "bpe_merges_small": bpe_merges_small,
+    "bpe_merges": bpe_merges,
     "bpe_vocab": bpe_vocab,
     "bpe_encode": _bpe_encoded("pretokenized"),
     "bpe_encode_raw": _bpe_encoded("raw"),

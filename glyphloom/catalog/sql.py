@@ -199,6 +199,12 @@ occ AS (SELECT doc_id, unnest(us) AS unit, generate_subscripts(us, 1) AS pos FRO
 units AS (SELECT unit, count(*) AS n FROM occ GROUP BY unit)"""
 
 
+def _age(symbol: str, made: int) -> str:
+    """Ids order symbols: letters first by code point, then merges by age."""
+    cases = " ".join(f"WHEN (SELECT a || b FROM m{i}) THEN {i}" for i in range(1, made + 1))
+    return f"CASE {symbol} {cases} ELSE 0 END, {symbol}" if made else symbol
+
+
 def _merge_steps(steps: int, source: str = "train_units") -> str:
     """CTEs m1..mN (one merge each) and s0..sN (the units after each)."""
     ctes = [f"""
@@ -208,7 +214,7 @@ s0 AS (SELECT n, '{_O}' || array_to_string(regexp_extract_all(unit, '(?s).'), '{
         ctes.append(f"""
 m{i} AS (SELECT a, b FROM (SELECT n, unnest(list_zip(l[:-2], l[2:])) AS p, p[1] AS a, p[2] AS b
         FROM (SELECT n, string_split(substr(w, 2, length(w) - 2), '{_C}{_O}') AS l FROM s{i - 1}))
-    GROUP BY a, b ORDER BY sum(n) DESC, a, b LIMIT 1),
+    GROUP BY a, b ORDER BY sum(n) DESC, {_age("a", i - 1)}, {_age("b", i - 1)} LIMIT 1),
 s{i} AS (SELECT n, replace(w, '{_O}' || a || '{_C}{_O}' || b || '{_C}',
     '{_O}' || a || b || '{_C}') AS w FROM s{i - 1}, m{i})""")
     return ",".join(ctes)
@@ -320,8 +326,13 @@ SQL: dict[str, str] = {
     "pretoken_counts": f"WITH {_units(_PRETOKEN)} SELECT unit, n FROM units",
     "alphabet": f"""WITH {_units(_PRETOKEN)}, train_units AS (SELECT * FROM units), {_LETTERS}
         SELECT id, token FROM letters""",
-    "bpe_merges_small": f"""WITH {_units(_PRETOKEN)}, train_units AS (SELECT * FROM units),
-        {_merge_steps(8)} {_merge_rows(8)}""",
+    "bpe_merges": f"""WITH {_units(_PRETOKEN)}, train_units AS (SELECT * FROM units),
+        {_merge_steps(64)} {_merge_rows(64)}""",
+    "bpe_vocab": f"""WITH {_units(_PRETOKEN)}, train_units AS (SELECT * FROM units),
+        {_LETTERS}, {_merge_steps(64)}, made AS ({_merge_rows(64)})
+        {_SPECIAL_ROWS} UNION ALL SELECT id, token FROM letters UNION ALL
+        SELECT CAST(rank + 1 + (SELECT max(id) FROM letters) AS INTEGER), "left" || "right"
+        FROM made""",
     "bpe_encode": f"WITH {_bpe_ids(_PRETOKEN, 8)} {_BPE_ROWS}",
     "bpe_encode_raw": f"WITH {_bpe_ids(_PRETOKEN_RAW, 8)} {_BPE_ROWS}",
     "bpe_decode": f"""WITH {_bpe_ids(_PRETOKEN, 8)}

@@ -63,13 +63,11 @@ class BpeModel:
 def bpe_encode(docs: DataFrame, model: BpeModel) -> DataFrame:
     """``(split, doc_id, ids)`` without begin and end markers."""
     units = unit_counts(docs, model.pattern)
-    table, rows = unit_table(units, model.segmenter())
-    return encode_with(docs, model.pattern, table, rows)
+    return encode_with(docs, model.pattern, unit_table(units, model.segmenter()))
 
 
 def bpe_decode(encoded: DataFrame, model: BpeModel, skip_specials: bool = True) -> DataFrame:
-    return subword_decode(encoded, model.vocab, model.vocab_size,
-                          registered=model.mode == "pretokenized",
+    return subword_decode(encoded, model.vocab, registered=model.mode == "pretokenized",
                           skip_specials=skip_specials)
 
 

@@ -30,13 +30,14 @@ def store_encoded(encoded: DataFrame) -> DataFrame:
     """Write an encoded corpus once, by split, with the narrow columns the layout needs.
 
     ``n``, ``head`` and ``tail`` (length, first and last id) sit beside ``ids`` so that
-    the layout never reads the arrays.
+    the layout never reads the arrays.  Files are sorted by id, so a bound on the id
+    prunes their row groups.
     """
     wide = encoded.select(
         "split", "doc_id", F.size("ids").alias("n"),
         F.get("ids", F.lit(0)).alias("head"),
         F.get("ids", F.size("ids") - 1).alias("tail"), "ids")
-    return written(wide, "encoded", ("split",))
+    return written(wide.sortWithinPartitions("split", "doc_id"), "encoded", ("split",))
 
 
 def _edges(stored: DataFrame) -> DataFrame:
@@ -185,7 +186,11 @@ def weighted_pairs(stored: DataFrame, joining: Joining, placed: DataFrame,
     before = F.when(F.col("prev_tail").isNull(), int_array()).otherwise(
         F.array(F.col("prev_tail")))
     # Every edge document holds at least one edge position: bounded by context and batch.
+    # Their ids lie at both ends of each split; the bounds prune the scan of the arrays.
+    at_head = edge_docs.where(F.col("start") <= context).agg(F.max("doc_id")).scalar()
+    at_tail = edge_docs.where(F.col("start") > context).agg(F.min("doc_id")).scalar()
     held = (stored.select("split", "doc_id", "ids")
+            .where((F.col("doc_id") <= at_head) | (F.col("doc_id") >= at_tail))
             .join(F.broadcast(edge_docs), ["split", "doc_id"])
             .withColumn("lead", F.size(before))
             .withColumn("seg", F.concat(before, _segment(joining))))

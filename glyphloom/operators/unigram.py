@@ -60,13 +60,13 @@ class UnigramModel:
 
 def unigram_encode(docs: DataFrame, model: UnigramModel) -> DataFrame:
     """``(split, doc_id, ids)`` without begin and end ids."""
-    table, rows = unit_table(unit_counts(docs, PRETOKEN_SPECIALS), model.segmenter())
-    return encode_with(docs, PRETOKEN_SPECIALS, table, rows)
+    units = unit_counts(docs, PRETOKEN_SPECIALS)
+    return encode_with(docs, PRETOKEN_SPECIALS, unit_table(units, model.segmenter()))
 
 
 def unigram_decode(encoded: DataFrame, model: UnigramModel,
                    skip_specials: bool = True) -> DataFrame:
-    return subword_decode(encoded, model.vocab, model.vocab_size, skip_specials=skip_specials)
+    return subword_decode(encoded, model.vocab, skip_specials=skip_specials)
 
 
 def substring_seed(units: DataFrame, seed_size: int,

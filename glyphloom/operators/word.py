@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from glyphloom.functions.text import EOS, SPECIALS, UNK, whitespace_tokens
-from glyphloom.operators.lookup import lookup
+from glyphloom.operators.lookup import Keyed, keyed, lookup
 from glyphloom.session import checkpointed
 
 
@@ -66,26 +68,30 @@ def word_vocab(docs: DataFrame, vocab_size: int = 5000) -> DataFrame:
     return specials.unionByName(numbered)
 
 
-def word_encode_long(docs: DataFrame, vocab: DataFrame, vocab_size: int,
-                     add_specials: bool = True) -> DataFrame:
+def vocab_keys(vocab: DataFrame) -> tuple[Keyed, Keyed]:
+    """A stored vocabulary measured once, keyed by token and by id."""
+    by_token = keyed(vocab.select("id", "token"), "token")
+    return by_token, replace(by_token, key="id")
+
+
+def word_encode_long(docs: DataFrame, by_token: Keyed, add_specials: bool = True) -> DataFrame:
     """``(split, doc_id, pos, id)``: one row per token; unknown words get the unk id."""
     tokens = whitespace_tokens(F.col("text"))
     if add_specials:
         tokens = F.concat(F.array(F.lit("<bos>")), tokens, F.array(F.lit("<eos>")))
     rows = docs.select("split", "doc_id", F.posexplode(tokens).alias("pos", "token"))
-    return lookup(rows, vocab.select("token", "id"), "token", vocab_size).select(
+    return lookup(rows, by_token).select(
         "split", "doc_id", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
 
 
-def word_encode(docs: DataFrame, vocab: DataFrame, vocab_size: int,
-                add_specials: bool = False) -> DataFrame:
+def word_encode(docs: DataFrame, by_token: Keyed, add_specials: bool = False) -> DataFrame:
     """``(split, doc_id, ids)``.
 
     Documents are partitioned by id before they are split into tokens: the text moves
     once, and tokens are looked up and collected again where they are.  An end token
     per document keeps empty documents in.
     """
-    rows = word_encode_long(docs.repartition("split", "doc_id"), vocab, vocab_size, True)
+    rows = word_encode_long(docs.repartition("split", "doc_id"), by_token)
     arrays = rows.groupBy("split", "doc_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("parts"))
     ids = F.col("parts.id")
@@ -94,13 +100,12 @@ def word_encode(docs: DataFrame, vocab: DataFrame, vocab_size: int,
     return arrays.select("split", "doc_id", ids.alias("ids"))
 
 
-def ids_to_tokens(encoded: DataFrame, vocab: DataFrame, vocab_size: int,
-                  skip: tuple[int, ...]) -> DataFrame:
+def ids_to_tokens(encoded: DataFrame, by_id: Keyed, skip: tuple[int, ...]) -> DataFrame:
     """``(split, doc_id, text)``: tokens joined by a space; an unknown id is an error."""
     marked = F.concat(F.col("ids"), F.array(F.lit(EOS)))
     rows = encoded.repartition("split", "doc_id").select(
         "split", "doc_id", F.size("ids").alias("n"), F.posexplode(marked).alias("pos", "id"))
-    named = lookup(rows, vocab.select("id", "token"), "id", vocab_size)
+    named = lookup(rows, by_id)
     missing = F.raise_error(F.concat(F.lit("id out of range: "), F.col("id").cast("string")))
     token = F.when(F.col("token").isNull(), missing.cast("string")).otherwise(F.col("token"))
     # The appended row only keeps empty documents in.
@@ -111,8 +116,7 @@ def ids_to_tokens(encoded: DataFrame, vocab: DataFrame, vocab_size: int,
         "split", "doc_id", F.array_join(F.col("parts.token"), " ").alias("text"))
 
 
-def word_decode(encoded: DataFrame, vocab: DataFrame, vocab_size: int,
-                skip_specials: bool = True) -> DataFrame:
+def word_decode(encoded: DataFrame, by_id: Keyed, skip_specials: bool = True) -> DataFrame:
     """Words joined by a space, special tokens left out."""
     skip = tuple(range(len(SPECIALS))) if skip_specials else ()
-    return ids_to_tokens(encoded, vocab, vocab_size, skip)
+    return ids_to_tokens(encoded, by_id, skip)

@@ -49,11 +49,11 @@ def check_name(name: str) -> None:
 
 
 def word_tokenizer(vocab: DataFrame) -> Tokenizer:
-    """From a vocabulary ``(id, token)``; its size is counted, as joins depend on it."""
-    size = vocab.count()
-    return Tokenizer("word", vocab, size, Joining(),
-                     lambda docs: word.word_encode(docs, vocab, size),
-                     lambda enc, skip: word.word_decode(enc, vocab, size, skip))
+    """From a stored vocabulary ``(id, token)``; it is measured, as joins depend on it."""
+    by_token, by_id = word.vocab_keys(vocab)
+    return Tokenizer("word", vocab, by_token.rows, Joining(),
+                     lambda docs: word.word_encode(docs, by_token),
+                     lambda enc, skip: word.word_decode(enc, by_id, skip))
 
 
 def byte_tokenizer(spark: SparkSession) -> Tokenizer:

@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A table is broadcast only up to this many rows; beyond it a shuffle join is used.
+# A table is broadcast only up to both limits; beyond them a shuffle join is used.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 256 << 20
 
 
 def build_session(app: str = "glyphloom", master: str | None = None,
@@ -64,14 +65,9 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows.
-
-    Pass ``rows`` when the size is already known; otherwise it is counted, up to the
-    limit only.
-    """
-    if rows is None:
-        rows = df.limit(BROADCAST_ROWS + 1).count()
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of fixed-width columns and at most ``rows`` rows, with a broadcast hint if
+    that is within the limit."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
