@@ -160,14 +160,19 @@ def test_save_and_load_bpe(spark, bpe_pair, make_docs, tmp_path):
         replace(bpe_pair[0], mode="other")
 
 
-def test_heavy_keys_give_the_same_encoding(bpe_pair, docs, monkeypatch):
+def test_heavy_keys_give_the_same_encoding(spark, bpe_pair, docs, monkeypatch):
     want = _ids(bpe.bpe_encode(docs, bpe_pair[0]))
     monkeypatch.setattr(lookup_module, "BROADCAST_ROWS", 10)
     monkeypatch.setattr(lookup_module, "HEAVY_SHARE", 0.001)
-    encoded = bpe.bpe_encode(docs, bpe_pair[0])
-    plan = encoded._jdf.queryExecution().executedPlan().toString()
-    assert "Union" in plan and "SortMergeJoin" in plan
-    assert _ids(encoded) == want
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        encoded = bpe.bpe_encode(docs, bpe_pair[0])
+        plan = encoded._jdf.queryExecution().executedPlan().toString()
+        assert "Union" in plan and "SortMergeJoin" in plan
+        assert _ids(encoded) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 @pytest.fixture(scope="module")
