@@ -281,8 +281,7 @@ def _scored(kind: str) -> Query:
 def smoothed_loss(spark, sf_dir):
     data = _prepared(spark, sf_dir, "word")
     model = experiment.train_counts(data)
-    train = data.pairs.where("split = 'train'").groupBy("prev", "cur").agg(
-        F.sum("n").alias("n"))
+    train = data.weighted.where("split = 'train'").select("prev", "cur", "n")
     parts = [ngram.smoothed_loss(model, train, kind, SETTINGS.k, SETTINGS.share,
                                  SETTINGS.smoothing)
              .select(F.lit(kind).alias("scorer"), F.round("train_loss", 6).alias("train_loss"))
@@ -303,7 +302,7 @@ def _grid(spark, sf_dir) -> dict[str, experiment.Encoded]:
 
 
 def run_metrics(spark, sf_dir):
-    found = compare.all_runs(_grid(spark, sf_dir), SETTINGS)
+    found = compare.all_runs(_grid(spark, sf_dir))
     return _rounded(found, *METRICS, "nll_plain", "unk_rate")
 
 
@@ -318,11 +317,11 @@ def run_metrics_subword(spark, sf_dir):
                   bpe_tokenizer(models.load_bpe(spark, path)), replace(raw, name="bpe-raw"),
                   _unigram(spark, train)]
     data = {t.name: experiment.prepare(docs, t, SETTINGS) for t in tokenizers}
-    return _rounded(compare.all_runs(data, SETTINGS), *METRICS, "nll_plain", "unk_rate")
+    return _rounded(compare.all_runs(data), *METRICS, "nll_plain", "unk_rate")
 
 
 def tokenizer_comparison(spark, sf_dir):
-    found = compare.comparison(compare.all_runs(_grid(spark, sf_dir), SETTINGS))
+    found = compare.comparison(compare.all_runs(_grid(spark, sf_dir)))
     return _rounded(found, *[c for c in found.columns if c != "tokenizer"])
 
 
@@ -331,7 +330,7 @@ def saved_model_score(spark, sf_dir):
     data = _prepared(spark, sf_dir, "word")
     path = scratch_path(spark, "counts")
     models.save_counts(experiment.train_counts(data), path)
-    found = experiment.evaluate_saved(spark, path, data, ngram.ADD_K, "val", SETTINGS)
+    found = experiment.evaluate_saved(spark, path, data, ngram.ADD_K, "val")
     return _rounded(found, *METRICS, "nll_plain", "unk_rate")
 
 
@@ -340,7 +339,7 @@ def _saved_epochs(spark, sf_dir) -> DataFrame:
     path = scratch_path(spark, "runs")
     for data in _grid(spark, sf_dir).values():
         for kind in ngram.KINDS:
-            runs.write_runs(experiment.epoch_records(data, kind, SETTINGS), path)
+            runs.write_runs(experiment.epoch_records(data, kind), path)
     return runs.read_runs(spark, path)
 
 

@@ -2,35 +2,69 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import defaultdict
 
 
 def merge_unit(unit: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Symbols of ``unit`` after merging, always the pair of lowest rank, leftmost first."""
-    parts = list(unit)
-    while len(parts) > 1:
-        best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, math.inf))
-        if best not in ranks:
-            break
-        joined, out, i = best[0] + best[1], [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                out.append(joined)
-                i += 2
-            else:
-                out.append(parts[i])
-                i += 1
-        parts = out
-    return parts
-
-
-def best_path(unit: str, scores: dict[str, float], longest: int,
-              unknown: float, without: str | None = None) -> tuple[list[tuple[int, int]], float]:
+    """Symbols of ``unit`` after merging, always the pair of lowest rank, leftmost first.
+
+    Waiting pairs sit in a heap, so a long unit costs little more than its length.
+    """
+    parts: list[str | None] = list(unit)
+    n = len(parts)
+    waiting = [(ranks[pair], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in ranks]
+    if not waiting:
+        return parts
+    heapq.heapify(waiting)
+    right = list(range(1, n + 1))
+    left = list(range(-1, n - 1))
+    while waiting:
+        rank, i = heapq.heappop(waiting)
+        j = right[i]
+        # Skip pairs that an earlier merge has changed.
+        if parts[i] is None or j >= n or ranks.get((parts[i], parts[j])) != rank:
+            continue
+        parts[i] += parts[j]
+        parts[j] = None
+        right[i] = k = right[j]
+        if k < n:
+            left[k] = i
+            follow = ranks.get((parts[i], parts[k]))
+            if follow is not None:
+                heapq.heappush(waiting, (follow, i))
+        h = left[i]
+        if h >= 0:
+            before = ranks.get((parts[h], parts[i]))
+            if before is not None:
+                heapq.heappush(waiting, (before, h))
+    return [p for p in parts if p is not None]
+
+
+def with_prefixes(scores: dict[str, float]) -> dict[str, float | None]:
+    """The scores, plus every proper prefix of a piece with None: a search may stop at
+    the first text that is neither."""
+    known: dict[str, float | None] = {}
+    for piece in scores:
+        for end in range(len(piece) - 1, 0, -1):
+            if piece[:end] in known:
+                break
+            known[piece[:end]] = None
+    known.update(scores)
+    return known
+
+
+_END = object()
+
+
+def best_path(unit: str, known: dict[str, float | None], unknown: float,
+              without: str | None = None) -> tuple[list[tuple[int, int]], float]:
     """Best-scoring spans ``(start, end)`` over the pieces, and their total score.
 
-    Where no one-character piece starts, one unknown character is an option at score
-    ``unknown``.  Among equal paths the first found, by start then length, stays.
+    ``known`` comes from :func:`with_prefixes`.  Where no one-character piece starts, one
+    unknown character is an option at score ``unknown``.  Among equal paths the first
+    found, by start then length, stays.
     """
     n = len(unit)
     total = [0.0] + [-math.inf] * n
@@ -40,9 +74,11 @@ def best_path(unit: str, scores: dict[str, float], longest: int,
         if here == -math.inf:
             continue
         single = False
-        for end in range(start + 1, min(n, start + longest) + 1):
+        for end in range(start + 1, n + 1):
             piece = unit[start:end]
-            score = scores.get(piece)
+            score = known.get(piece, _END)
+            if score is _END:
+                break
             if score is None or piece == without:
                 continue
             single = single or end == start + 1
@@ -57,30 +93,50 @@ def best_path(unit: str, scores: dict[str, float], longest: int,
     return spans[::-1], total[n]
 
 
-def expected_uses(unit: str, weight: float, scores: dict[str, float], longest: int,
-                  into: defaultdict) -> float:
-    """Add each piece's expected uses in ``unit``; return the log likelihood.
+def expected_uses(unit: str, weight: float, known: dict[str, float | None],
+                  into: defaultdict) -> None:
+    """Add each piece's expected uses in ``unit``: forward and backward sums over all
+    segmentations.  Every character is a piece.
 
-    Forward and backward sums over all segmentations.  Every character is a piece.
+    Plain probabilities serve short units; where they would underflow, logarithms do.
     """
     n = len(unit)
     spans = []
-    ahead = [-math.inf] * (n + 1)
-    ahead[0] = 0.0
+    ahead = [1.0] + [0.0] * n
     for start in range(n):
-        for end in range(start + 1, min(n, start + longest) + 1):
-            score = scores.get(unit[start:end])
+        here = ahead[start]
+        for end in range(start + 1, n + 1):
+            piece = unit[start:end]
+            score = known.get(piece, _END)
+            if score is _END:
+                break
             if score is not None:
-                spans.append((start, end, score))
-                ahead[end] = _log_add(ahead[end], ahead[start] + score)
-    behind = [-math.inf] * (n + 1)
-    behind[n] = 0.0
-    for start, end, score in reversed(spans):
+                prob = math.exp(score)
+                spans.append((start, end, prob, score, piece))
+                ahead[end] += here * prob
+    if ahead[n] < _TINY:
+        _expected_uses_log(n, weight, spans, into)
+        return
+    behind = [0.0] * n + [weight / ahead[n]]
+    for start, end, prob, _, piece in reversed(spans):
+        share = behind[end] * prob
+        behind[start] += share
+        into[piece] += ahead[start] * share
+
+
+# Products of probabilities below this may have lost precision.
+_TINY = 1e-280
+
+
+def _expected_uses_log(n: int, weight: float, spans: list, into: defaultdict) -> None:
+    ahead = [0.0] + [-math.inf] * n
+    behind = [-math.inf] * n + [0.0]
+    for start, end, _, score, _ in spans:
+        ahead[end] = _log_add(ahead[end], ahead[start] + score)
+    for start, end, _, score, _ in reversed(spans):
         behind[start] = _log_add(behind[start], behind[end] + score)
-    for start, end, score in spans:
-        share = ahead[start] + score + behind[end] - ahead[n]
-        into[unit[start:end]] += weight * math.exp(share)
-    return weight * ahead[n]
+    for start, end, _, score, piece in spans:
+        into[piece] += weight * math.exp(ahead[start] + score + behind[end] - ahead[n])
 
 
 def _log_add(a: float, b: float) -> float:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphloom.functions.metrics import interior_weight, target_weight
 from glyphloom.functions.text import BOS, EOS, int_array, neighbours
-from glyphloom.session import checkpointed, parallelism, written
+from glyphloom.session import checkpointed, parallelism, small, written
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,7 @@ def layout(stored: DataFrame, joining: Joining) -> DataFrame:
                        F.sum("part_size").over(Window.partitionBy("split")).alias("length")))
     inside = (Window.partitionBy("split", "part").orderBy("doc_id")
               .rowsBetween(Window.unboundedPreceding, -1))
+    # One row per part and split: bounded by the number of tasks.
     placed = parted.join(F.broadcast(carried), ["split", "part"])
     return placed.select(
         "split", "doc_id", "is_first", "is_last", "size", "seg_head",
@@ -256,17 +257,24 @@ def split_sizes(lengths: DataFrame, context: int, batch: int, stride: int = 1) -
 
 
 def window_starts(lengths: DataFrame, context: int, stride: int = 1,
-                  chunk: int = 100_000) -> DataFrame:
-    """``(split, start)`` of every window, generated in parallel from the lengths."""
-    tasks = parallelism(lengths.sparkSession)
+                  chunk: int = 10_000) -> DataFrame:
+    """``(split, start)`` of every window, generated from the lengths alone.
+
+    Three nested sequences of at most ``chunk`` elements each (the outer one longer only
+    past ``chunk`` cubed); the work is spread after the first.
+    """
     last = F.col("length") - context - 1
-    chunks = (lengths.where(last >= 0)
+    zero = F.lit(0).cast("bigint")
+    inner, outer = chunk * stride, chunk * chunk * stride
+    spread = (lengths.where(last >= 0)
               .select("split", last.alias("last"),
-                      F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                           F.floor(last / (chunk * stride)))).alias("c"))
-              .repartition(tasks, "split", "c"))
-    low = F.col("c") * chunk * stride
-    high = F.least(low + (chunk - 1) * stride, F.col("last"))
+                      F.explode(F.sequence(zero, F.floor(last / outer))).alias("o"))
+              .select("split", "last", (F.col("o") * outer).alias("low"))
+              .repartition(parallelism(lengths.sparkSession), "split", "low"))
+    chunks = spread.select("split", "last", "low", F.explode(F.sequence(zero, F.floor(
+        F.least(F.col("last") - F.col("low"), F.lit(outer - 1)) / inner))).alias("c"))
+    low = F.col("low") + F.col("c") * inner
+    high = F.least(low + inner - stride, F.col("last"))
     return chunks.select("split", F.explode(
         F.sequence(low, high, F.lit(stride).cast("bigint"))).alias("start"))
 
@@ -277,14 +285,14 @@ def ordered_batches(starts: DataFrame, batch: int, stride: int = 1) -> DataFrame
         "batch_id", F.floor(F.col("start") / (stride * batch)).cast("bigint"))
 
 
-def shuffled_batches(starts: DataFrame, batch: int, seed: int = 0,
-                     epoch: int = 0) -> DataFrame:
+def shuffled_batches(starts: DataFrame, batch: int, seed: int = 0, epoch: int = 0,
+                     digits: int = 4) -> DataFrame:
     """``(split, start, batch_id)`` in an order drawn from seed and epoch.
 
-    Windows are ranked by a hash.  Its leading hex digits cut the ranking into equal
-    parts, ranked apart and offset by the sizes of the parts before.
+    Windows are ranked by a hash.  Its leading hex ``digits`` cut the ranking into
+    16**digits equal parts, ranked apart and offset by the sizes of the parts before;
+    one more digit makes each part 16 times smaller.
     """
-    digits = 4
     keyed = starts.withColumn("draw", F.md5(F.concat_ws(
         ":", F.lit(str(seed)), F.lit(str(epoch)), F.col("start").cast("string"))))
     keyed = keyed.withColumn("part", F.substring("draw", 1, digits))
@@ -293,8 +301,8 @@ def shuffled_batches(starts: DataFrame, batch: int, seed: int = 0,
     base = keyed.groupBy("split", "part").count().select(
         "split", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("split", "part").orderBy("draw", "start")
-    # At most 16**4 rows per split.
-    return keyed.join(F.broadcast(base), ["split", "part"]).select(
+    # At most 16**digits rows for each of a few splits.
+    return keyed.join(small(base, 4 * 16 ** digits), ["split", "part"]).select(
         "split", "start",
         F.floor((F.col("base") + F.row_number().over(inside) - 1) / batch)
         .cast("bigint").alias("batch_id"))

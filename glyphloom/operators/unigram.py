@@ -10,7 +10,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from glyphloom.functions.segment import best_path, digamma, expected_uses
+from glyphloom.functions.segment import (best_path, digamma, expected_uses,
+                                         with_prefixes)
 from glyphloom.functions.text import PRETOKEN_SPECIALS, SPECIALS, UNK
 from glyphloom.operators.stream import Joining
 from glyphloom.operators.subword import (encode_with, fuse_unknown, special_ids,
@@ -41,15 +42,15 @@ class UnigramModel:
         rows = self.pieces.where(F.col("id") >= len(SPECIALS)).collect()
         ids = {r.piece: r.id for r in rows}
         scores = {r.piece: r.log_prob for r in rows}
-        longest = max(map(len, scores), default=1)
+        known = with_prefixes(scores)
         # Special tokens carry score 0, so they do not lower the minimum.
         unknown = min([0.0, *scores.values()]) - UNKNOWN_PENALTY
 
         def segment(unit: str) -> list[int]:
-            known = special_ids(unit)
-            if known:
-                return known
-            spans, _ = best_path(unit, scores, longest, unknown)
+            special = special_ids(unit)
+            if special:
+                return special
+            spans, _ = best_path(unit, known, unknown)
             return fuse_unknown([ids.get(unit[a:b], UNK) for a, b in spans])
 
         return segment
@@ -92,26 +93,25 @@ def substring_seed(units: DataFrame, seed_size: int,
 def _per_unit(units: DataFrame, scores: dict[str, float], collect) -> DataFrame:
     """``(piece, uses)``: one accumulation per task, then a sum per piece.
 
-    ``collect(unit, n, scores, longest, into)`` adds a unit's uses.  The accumulator is
-    bounded by the number of pieces.
+    ``collect(unit, n, known, into)`` adds a unit's uses.  The accumulator is bounded by
+    the number of pieces.
     """
-    shared = units.sparkSession.sparkContext.broadcast(scores)
-    longest = max(map(len, scores))
+    shared = units.sparkSession.sparkContext.broadcast(with_prefixes(scores))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         known, into = shared.value, defaultdict(float)
         for batch in batches:
             for unit, n in zip(batch["unit"], batch["n"]):
-                collect(unit, float(n), known, longest, into)
+                collect(unit, float(n), known, into)
         yield pd.DataFrame({"piece": list(into), "uses": list(into.values())})
 
     return units.mapInPandas(run, "piece string, uses double").groupBy("piece").agg(
         F.sum("uses").alias("uses"))
 
 
-def _best_uses(unit: str, n: float, scores: dict[str, float], longest: int,
+def _best_uses(unit: str, n: float, known: dict[str, float | None],
                into: defaultdict) -> None:
-    for a, b in best_path(unit, scores, longest, -math.inf)[0]:
+    for a, b in best_path(unit, known, -math.inf)[0]:
         into[unit[a:b]] += n
 
 
@@ -132,13 +132,12 @@ def _prune(units: DataFrame, scores: dict[str, float], letters: set[str],
 
     Without a piece, its uses on best paths fall to its own best split into others.
     """
-    shared = units.sparkSession.sparkContext.broadcast(scores)
-    longest = max(map(len, scores))
+    shared = units.sparkSession.sparkContext.broadcast(with_prefixes(scores))
 
     def losses(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            gap = [known[p] - best_path(p, known, longest, -math.inf, without=p)[1]
+            gap = [known[p] - best_path(p, known, -math.inf, without=p)[1]
                    for p in batch["piece"]]
             yield pd.DataFrame({"piece": batch["piece"], "loss": batch["uses"] * gap})
 

@@ -34,10 +34,9 @@ def word_vocab(docs: DataFrame, vocab_size: int = 5000) -> DataFrame:
     """``(id, token)``: the special tokens, then words by count, ties by first occurrence.
 
     The ranking by count and first document settles all but ties inside one document.
-    For the candidates alone - the top words and those equal to the last of them - the
-    first position is looked up in their first documents; the bound on the document id
-    prunes that second scan to the files that hold them.  The counts are checkpointed,
-    so the texts are counted once.
+    Only words in such a tie, among the top ones and those equal to the last of them,
+    have their first position looked up in that document; the bound on its id prunes
+    the second scan.  The counts are checkpointed, so the texts are counted once.
     """
     keep = vocab_size - len(SPECIALS)
     specials = special_rows(docs.sparkSession)
@@ -45,22 +44,30 @@ def word_vocab(docs: DataFrame, vocab_size: int = 5000) -> DataFrame:
         raise ValueError("vocab_size must cover the special tokens")
     counts = checkpointed(word_counts(docs).where(~F.col("token").isin(*SPECIALS)))
     top = counts.orderBy(F.desc("n"), "first_doc").limit(keep)
-    bar = top.agg(F.min("n").alias("n"), F.max("first_doc").alias("last_doc"),
+    bar = top.agg(F.min("n").alias("n"),
                   F.max_by("first_doc", F.struct(-F.col("n"), F.col("first_doc")))
                   .alias("first_doc")).first()
     if bar.n is None:
         return specials
     # At most vocab_size rows, plus the ties of the last one inside its document.
-    candidates = counts.where(
+    tie = Window.partitionBy("n", "doc_id")
+    candidates = checkpointed(counts.where(
         (F.col("n") > bar.n)
         | ((F.col("n") == bar.n) & (F.col("first_doc") <= bar.first_doc))
-    ).withColumnRenamed("first_doc", "doc_id")
-    places = (docs.where(F.col("doc_id") <= bar.last_doc)
-              .join(F.broadcast(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
-              .select("doc_id", F.posexplode(whitespace_tokens(F.col("text")))
-                      .alias("pos", "token"))
-              .join(F.broadcast(candidates), ["doc_id", "token"])
-              .groupBy("token", "n", "doc_id").agg(F.min("pos").alias("pos")))
+    ).select("token", "n", F.col("first_doc").alias("doc_id"))
+        .withColumn("tied", F.count(F.lit(1)).over(tie) > 1))
+    tied = candidates.where("tied").drop("tied")
+    last_doc = tied.agg(F.max("doc_id")).first()[0]
+    places = candidates.where(~F.col("tied")).select("token", "n", "doc_id",
+                                                     F.lit(0).alias("pos"))
+    if last_doc is not None:
+        places = places.unionByName(
+            docs.where(F.col("doc_id") <= last_doc)
+            .join(F.broadcast(tied.select("doc_id").distinct()), "doc_id", "left_semi")
+            .select("doc_id", F.posexplode(whitespace_tokens(F.col("text")))
+                    .alias("pos", "token"))
+            .join(F.broadcast(tied), ["doc_id", "token"])
+            .groupBy("token", "n", "doc_id").agg(F.min("pos").alias("pos")))
     order = [F.desc("n"), F.asc("doc_id"), F.asc("pos")]
     top = places.orderBy(*order).limit(keep)
     numbered = top.select(

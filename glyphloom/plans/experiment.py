@@ -38,14 +38,19 @@ def corpus_totals(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Encoded:
-    """A corpus encoded once: the stored arrays, its layout, pairs and totals."""
+    """A corpus encoded once, and the narrow tables every run needs.
+
+    ``pairs(split, slice, prev, cur, n)`` counts per training slice,
+    ``weighted(split, prev, cur, n, weight)`` all slices with their window weight, and
+    ``totals`` has one row per split.
+    """
 
     tokenizer: Tokenizer
+    settings: Settings
     stored: DataFrame
-    placed: DataFrame
     pairs: DataFrame
+    weighted: DataFrame
     totals: DataFrame
-    epochs: int
 
 
 def prepare(docs: DataFrame, tokenizer: Tokenizer, settings: Settings = Settings()) -> Encoded:
@@ -60,34 +65,30 @@ def prepare(docs: DataFrame, tokenizer: Tokenizer, settings: Settings = Settings
                       F.lit(settings.epochs)).cast("int")
     pairs = written(pair_counts(stored.withColumn("slice", slice_of), tokenizer.joining,
                                 placed, by=("slice",)), "pairs")
+    merged = pairs.groupBy("split", "prev", "cur").agg(F.sum("n").alias("n"))
+    weights = written(weighted_pairs(stored, tokenizer.joining, placed, merged,
+                                     settings.context, settings.batch), "weighted")
     totals = corpus_totals(docs).join(
         stream_lengths(stored, tokenizer.joining), "split").withColumnRenamed(
         "length", "n_tokens")
-    return Encoded(tokenizer, stored, placed, pairs, checkpointed(totals), settings.epochs)
-
-
-def weighted(data: Encoded, settings: Settings) -> DataFrame:
-    """``(split, prev, cur, n, weight)`` of all splits."""
-    merged = data.pairs.groupBy("split", "prev", "cur").agg(F.sum("n").alias("n"))
-    return weighted_pairs(data.stored, data.tokenizer.joining, data.placed, merged,
-                          settings.context, settings.batch)
+    return Encoded(tokenizer, settings, stored, pairs, weights, checkpointed(totals))
 
 
 def train_counts(data: Encoded) -> ngram.Bigrams:
     """The final model: all of the train split."""
-    pairs = (data.pairs.where("split = 'train'").groupBy("prev", "cur")
-             .agg(F.sum("n").alias("n")))
+    pairs = data.weighted.where("split = 'train' AND n > 0").select("prev", "cur", "n")
     return ngram.fit(pairs, data.tokenizer.vocab_size)
 
 
 def evaluate(model: ngram.Bigrams, data: Encoded, kind: str,
-             settings: Settings = Settings(), splits: tuple[str, ...] = SPLITS) -> DataFrame:
+             splits: tuple[str, ...] = SPLITS) -> DataFrame:
     """``(split, stage, metrics, nll_plain, unk_rate, n_targets)`` of the asked splits."""
     ngram.check_kind(kind)
     for split in splits:
         if split not in SPLITS:
             raise ValueError(f"unknown split {split!r}, expected one of {SPLITS}")
-    pairs = weighted(data, settings).where(F.col("split").isin(*splits))
+    pairs = data.weighted.where(F.col("split").isin(*splits))
+    settings = data.settings
     losses = ngram.mean_losses(ngram.score(model, pairs, kind, settings.k, settings.share))
     # One row per split.
     return losses.join(F.broadcast(data.totals), "split").select(
@@ -97,31 +98,31 @@ def evaluate(model: ngram.Bigrams, data: Encoded, kind: str,
         "nll_plain", "unk_rate", "n_targets")
 
 
-def run_metrics(data: Encoded, kind: str, settings: Settings = Settings(),
-                splits: tuple[str, ...] = SPLITS) -> DataFrame:
+def run_metrics(data: Encoded, kind: str, splits: tuple[str, ...] = SPLITS) -> DataFrame:
     """One row per split for the final model, with the run's keys."""
-    return evaluate(train_counts(data), data, kind, settings, splits).drop("stage").select(
+    return evaluate(train_counts(data), data, kind, splits).drop("stage").select(
         F.lit(data.tokenizer.name).alias("tokenizer"), F.lit(kind).alias("scorer"), "*")
 
 
-def evaluate_saved(spark: SparkSession, path: str, data: Encoded, kind: str, split: str,
-                   settings: Settings = Settings()) -> DataFrame:
+def evaluate_saved(spark: SparkSession, path: str, data: Encoded, kind: str,
+                   split: str) -> DataFrame:
     """Score the requested split with count tables saved earlier."""
-    return evaluate(models.load_counts(spark, path), data, kind, settings, (split,)).drop("stage")
+    return evaluate(models.load_counts(spark, path), data, kind, (split,)).drop("stage")
 
 
-def epoch_records(data: Encoded, kind: str, settings: Settings = Settings()) -> DataFrame:
+def epoch_records(data: Encoded, kind: str) -> DataFrame:
     """The twelve-field record of every epoch, with the run's keys.
 
     Epoch ``e`` is the model after slices 0..e of the training data: all epochs come
     from one set of counts.  There is no learning rate; ``lr`` is null.
     """
+    settings = data.settings
     train = data.pairs.where("split = 'train'").drop("split")
-    model = ngram.fit_stages(train, data.tokenizer.vocab_size, data.epochs)
-    whole = train.groupBy("prev", "cur").agg(F.sum("n").alias("n"))
+    model = ngram.fit_stages(train, data.tokenizer.vocab_size, settings.epochs)
+    whole = data.weighted.where("split = 'train'").select("prev", "cur", "n")
     train_loss = ngram.smoothed_loss(model, whole, kind, settings.k, settings.share,
                                      settings.smoothing)
-    val = evaluate(model, data, kind, settings, ("val",))
+    val = evaluate(model, data, kind, ("val",))
     # One row per epoch on both sides.
     return val.join(F.broadcast(train_loss), "stage").select(
         F.lit(data.tokenizer.name).alias("tokenizer"), F.lit(kind).alias("scorer"),
@@ -129,7 +130,7 @@ def epoch_records(data: Encoded, kind: str, settings: Settings = Settings()) ->
         F.col("nll_token").alias("val_loss"), F.lit(None).cast("double").alias("lr"))
 
 
-def test_record(data: Encoded, kind: str, settings: Settings = Settings()) -> DataFrame:
+def test_record(data: Encoded, kind: str) -> DataFrame:
     """The eight-field record of the final model on the test split, with the run's keys."""
-    return run_metrics(data, kind, settings, ("test",)).select(
+    return run_metrics(data, kind, ("test",)).select(
         "tokenizer", "scorer", "split", *METRICS)

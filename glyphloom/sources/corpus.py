@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphloom.functions.text import one_line
-from glyphloom.session import spread
+from glyphloom.session import parallelism, spread
 
 SPLITS = ("train", "val", "test")
 
@@ -56,9 +56,11 @@ def seeded_split(docs: DataFrame, test_size: float = 0.1, seed: int = 42) -> Dat
 def first_rows(docs: DataFrame, n: int) -> DataFrame:
     """The first ``n`` documents in id order; fewer than ``n`` is an error on use.
 
-    The ids alone are ranked, so texts are not moved by the sort.
+    The ids alone are ranked, so texts are not moved by the sort; fewer, larger tasks
+    each send their first ``n`` ids to the last step.
     """
-    ids = docs.select("doc_id").orderBy("doc_id").limit(n)
+    ids = (docs.select("doc_id").coalesce(parallelism(docs.sparkSession))
+           .orderBy("doc_id").limit(n))
     edge = ids.agg(F.count(F.lit(1)).alias("k"), F.max("doc_id").alias("last")).select(
         F.when(F.col("k") == n, F.col("last")).otherwise(
             F.raise_error(F.lit(f"fewer than {n} rows")).cast("bigint")))

@@ -79,15 +79,15 @@ def test_stages_accumulate(spark):
 
 def test_unknown_names(spark, data):
     with pytest.raises(ValueError, match="unknown model type"):
-        experiment.run_metrics(data["word"], "lstm", SETTINGS)
+        experiment.run_metrics(data["word"], "lstm")
     with pytest.raises(ValueError, match="unknown split"):
-        experiment.run_metrics(data["word"], "addk", SETTINGS, ("dev",))
+        experiment.run_metrics(data["word"], "addk", ("dev",))
     with pytest.raises(ValueError, match="unknown split"):
         corpus.pick_split(spark.range(1), "dev")
 
 
 def test_metric_identities(spark, data):
-    found = compare.all_runs(data, SETTINGS)
+    found = compare.all_runs(data)
     rows = found.collect()
     assert len(rows) == 2 * 2 * 3
     for r in rows:
@@ -106,20 +106,20 @@ def test_metric_identities(spark, data):
 def test_saved_counts_score_the_asked_split(spark, data, tmp_path):
     path = str(tmp_path / "counts")
     models.save_counts(experiment.train_counts(data["word"]), path)
-    direct = {r.split: r for r in experiment.run_metrics(data["word"], "addk", SETTINGS).collect()}
+    direct = {r.split: r for r in experiment.run_metrics(data["word"], "addk").collect()}
     for split in corpus.SPLITS:
-        rows = experiment.evaluate_saved(spark, path, data["word"], "addk", split,
-                                         SETTINGS).collect()
+        rows = experiment.evaluate_saved(spark, path, data["word"], "addk",
+                                         split).collect()
         assert [r.split for r in rows] == [split]
         assert rows[0].nll_token == pytest.approx(direct[split].nll_token, rel=1e-12)
 
 
 def test_epochs(data):
-    records = experiment.epoch_records(data["word"], "addk", SETTINGS)
+    records = experiment.epoch_records(data["word"], "addk")
     rows = sorted(records.collect(), key=lambda r: r.epoch)
     assert [r.epoch for r in rows] == [0, 1, 2] and {r.split for r in rows} == {"val"}
     assert all(r.lr is None and r.val_loss == r.nll_token for r in rows)
-    final = experiment.run_metrics(data["word"], "addk", SETTINGS, ("val",)).first()
+    final = experiment.run_metrics(data["word"], "addk", ("val",)).first()
     assert rows[-1].nll_token == pytest.approx(final.nll_token, rel=1e-12)
     summary = compare.curve_summary(records).first()
     losses = [x for r in rows for x in (r.train_loss, r.val_loss)]
@@ -129,12 +129,12 @@ def test_epochs(data):
 def test_run_sink_replaces_single_runs(spark, data, tmp_path):
     path = str(tmp_path / "runs")
     for kind in ngram.KINDS:
-        runs.write_runs(experiment.epoch_records(data["word"], kind, SETTINGS), path)
-    runs.write_runs(experiment.epoch_records(data["word"], "addk", SETTINGS)
+        runs.write_runs(experiment.epoch_records(data["word"], kind), path)
+    runs.write_runs(experiment.epoch_records(data["word"], "addk")
                     .where("epoch = 0"), path)
     got = Counter((r.tokenizer, r.scorer) for r in runs.read_runs(spark, path).collect())
     assert got == {("word", "addk"): 1, ("word", "interpolated"): 3}
-    record = experiment.test_record(data["word"], "addk", SETTINGS)
+    record = experiment.test_record(data["word"], "addk")
     runs.write_runs(record, str(tmp_path / "test"))
     back = runs.read_runs(spark, str(tmp_path / "test"), test=True).first()
     assert back.split == "test" and back.nll_token == pytest.approx(record.first().nll_token)

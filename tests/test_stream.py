@@ -98,7 +98,7 @@ def test_split_sizes(spark):
     assert got == {"a": (35, 2), "b": (0, 0), "c": (32, 1)}
 
 
-@pytest.mark.parametrize("stride,chunk", [(1, 10), (3, 7), (2, 100_000)])
+@pytest.mark.parametrize("stride,chunk", [(1, 10), (3, 2), (3, 7), (2, 10_000)])
 def test_window_starts(spark, stride, chunk):
     lengths = spark.createDataFrame([("a", 139), ("b", 3)], "split string, length bigint")
     got = sorted(r.start for r in stream.window_starts(lengths, 4, stride, chunk).collect())

@@ -8,7 +8,7 @@ from dataclasses import replace
 import pytest
 from tokenizers import Tokenizer, models as lib, pre_tokenizers, trainers
 
-from glyphloom.functions.segment import best_path, digamma, expected_uses
+from glyphloom.functions.segment import best_path, digamma, expected_uses, with_prefixes
 from glyphloom.functions.text import SPECIALS
 from glyphloom.operators import bpe, lookup as lookup_module, subword, unigram
 from glyphloom.plans.tokenizers import bpe_tokenizer, unigram_tokenizer
@@ -245,9 +245,13 @@ def test_expected_uses_against_all_splits():
         for piece in split:
             want[piece] += 3 * w / sum(weights.values())
     got = defaultdict(float)
-    expected_uses("ababa", 3.0, scores, 3, got)
+    known = with_prefixes(scores)
+    expected_uses("ababa", 3.0, known, got)
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
-    spans, total = best_path("ababa", scores, 3, -99.0)
+    long = defaultdict(float)
+    expected_uses("ab" * 200, 2.0, known, long)
+    assert math.isclose(sum(len(p) * n for p, n in long.items()), 800.0, rel_tol=1e-9)
+    spans, total = best_path("ababa", known, -99.0)
     assert math.isclose(total, max(map(math.log, weights.values())))
     assert math.isclose(total, sum(scores["ababa"[a:b]] for a, b in spans))
 
