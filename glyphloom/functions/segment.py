@@ -146,9 +146,9 @@ def _log_add(a: float, b: float) -> float:
 
 
 def digamma(x: float) -> float:
-    """Derivative of ln(gamma), for x > 0: recurrence up to 6, then the asymptotic series."""
+    """Derivative of ln(gamma), for x > 0: recurrence up to 10, then the asymptotic series."""
     shift = 0.0
-    while x < 6:
+    while x < 10:
         shift -= 1 / x
         x += 1
     inv = 1 / (x * x)
