@@ -58,15 +58,16 @@ def word_vocab(docs: DataFrame, vocab_size: int = 5000) -> DataFrame:
         .withColumn("tied", F.count(F.lit(1)).over(tie) > 1))
     tied = candidates.where("tied").drop("tied")
     last_doc = tied.agg(F.max("doc_id")).first()[0]
+    tied = F.broadcast(tied) if keyed(tied, "token").fits else tied
     places = candidates.where(~F.col("tied")).select("token", "n", "doc_id",
                                                      F.lit(0).alias("pos"))
     if last_doc is not None:
         places = places.unionByName(
             docs.where(F.col("doc_id") <= last_doc)
-            .join(F.broadcast(tied.select("doc_id").distinct()), "doc_id", "left_semi")
+            .join(tied.select("doc_id"), "doc_id", "left_semi")
             .select("doc_id", F.posexplode(whitespace_tokens(F.col("text")))
                     .alias("pos", "token"))
-            .join(F.broadcast(tied), ["doc_id", "token"])
+            .join(tied, ["doc_id", "token"])
             .groupBy("token", "n", "doc_id").agg(F.min("pos").alias("pos")))
     order = [F.desc("n"), F.asc("doc_id"), F.asc("pos")]
     top = places.orderBy(*order).limit(keep)
