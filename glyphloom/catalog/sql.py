@@ -189,7 +189,7 @@ _METRIC_NAMES = ("nll_token", "perplexity", "bits_per_token", "nll_per_char",
                  "bits_per_char", "tokens_per_char", "bits_per_byte")
 
 # Byte-pair merges: symbols wrapped in two private-use marks, one step per merge.
-_O, _C = "", ""
+_O, _C = "\ue000", "\ue001"
 
 
 def _units(pattern: str) -> str:

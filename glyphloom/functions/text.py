@@ -73,9 +73,9 @@ def drop_invalid_utf8(raw: Column) -> Column:
     and restored after.
     """
     escaped = F.replace(F.replace(raw, F.lit("\u0001"), F.lit("\u0001a")),
-                        F.lit("�"), F.lit("\u0001b"))
-    clean = F.replace(F.make_valid_utf8(escaped), F.lit("�"), F.lit(""))
-    restored = F.replace(F.replace(clean, F.lit("\u0001b"), F.lit("�")),
+                        F.lit("\ufffd"), F.lit("\u0001b"))
+    clean = F.replace(F.make_valid_utf8(escaped), F.lit("\ufffd"), F.lit(""))
+    restored = F.replace(F.replace(clean, F.lit("\u0001b"), F.lit("\ufffd")),
                          F.lit("\u0001a"), F.lit("\u0001"))
     return F.when(F.is_valid_utf8(raw), raw).otherwise(restored)
 

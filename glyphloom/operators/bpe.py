@@ -15,7 +15,7 @@ from glyphloom.operators.subword import (alphabet, encode_with, special_ids, sub
 from glyphloom.session import checkpointed, parallelism
 
 # Merges applied on the fly before the unit table is rewritten and checkpointed.
-PENDING_MERGES = 32
+PENDING_MERGES = 16
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,10 @@ def _merged(base: DataFrame, merges: list[tuple[str, str]], open_: str,
 def _next_merges(current: DataFrame, border: str, ids: dict[str, int],
                  top: int) -> list[tuple[str, str]]:
     """Pairs that greedy merging takes next, in its order (count, then ids)."""
-    symbols = F.split(F.substr("w", F.lit(2), F.length("w") - 2), border)
+    # A one-character separator splits without a regular expression.
+    inner = F.replace(F.substr("w", F.lit(2), F.length("w") - 2), F.lit(border),
+                      F.lit(border[0]))
+    symbols = F.split(inner, border[0])
     # Projected first: the generator would evaluate the split once per use.
     counted = (current.select("n", symbols.alias("s"))
                .select("n", F.explode(neighbours(F.col("s"))).alias("p"))

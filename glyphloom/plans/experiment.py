@@ -18,7 +18,7 @@ from glyphloom.sources.corpus import SPLITS, hash_draw
 
 @dataclass(frozen=True)
 class Settings:
-    """The parameters of a run; values are those of the reference experiment."""
+    """The parameters of a run."""
 
     context: int = 128
     batch: int = 32

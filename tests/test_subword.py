@@ -107,7 +107,7 @@ def test_self_pairs_and_overlaps(spark, units):
 
 def test_random_units_equal_greedy(spark):
     rng = random.Random(5)
-    for _ in range(6):
+    for _ in range(4):
         units = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))):
                  rng.randrange(1, 30) for _ in range(12)}
         assert _trained(spark, units, 24, top=rng.choice([2, 5, 1000])) == _greedy(units, 24)
