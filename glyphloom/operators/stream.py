@@ -261,7 +261,7 @@ def window_starts(lengths: DataFrame, context: int, stride: int = 1,
     """``(split, start)`` of every window, generated from the lengths alone.
 
     Three nested sequences of at most ``chunk`` elements each (the outer one longer only
-    past ``chunk`` cubed); the work is spread after the first.
+    past ``chunk`` cubed); the work is spread after each of the first two.
     """
     last = F.col("length") - context - 1
     zero = F.lit(0).cast("bigint")
@@ -272,7 +272,8 @@ def window_starts(lengths: DataFrame, context: int, stride: int = 1,
               .select("split", "last", (F.col("o") * outer).alias("low"))
               .repartition(parallelism(lengths.sparkSession), "split", "low"))
     chunks = spread.select("split", "last", "low", F.explode(F.sequence(zero, F.floor(
-        F.least(F.col("last") - F.col("low"), F.lit(outer - 1)) / inner))).alias("c"))
+        F.least(F.col("last") - F.col("low"), F.lit(outer - 1)) / inner))).alias("c")).repartition(
+            parallelism(lengths.sparkSession), "split", "low", "c")
     low = F.col("low") + F.col("c") * inner
     high = F.least(low + inner - stride, F.col("last"))
     return chunks.select("split", F.explode(
