@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphloom.llm import simhash
+from glyphloom.llm import secrets, simhash
 from glyphloom.llm.common import table
+from glyphloom.llm.sql import SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +20,16 @@ def op5_simhash_pivots(spark, sf_dir):
                         "component_id")
 
 
+def op8_secret_ownership(spark, sf_dir):
+    spans = F.col("spans")
+    base = secrets.span_text(secrets.base_spans(spans))
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        *[secrets.count_kind(spans, kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(base, 256).alias("base_sha256"), secrets.span_text(spans).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op5_simhash_pivots,
+    op8_secret_ownership,
 )}
-SQL: dict[str, str] = {}
