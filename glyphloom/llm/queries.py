@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphloom.llm import secrets, simhash
+from glyphloom.llm import packing, secrets, simhash
 from glyphloom.llm.common import table
 from glyphloom.llm.sql import SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_minimum_bin_slack(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_simhash_pivots(spark, sf_dir):
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"),
@@ -30,6 +34,7 @@ def op8_secret_ownership(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op3_minimum_bin_slack,
     op5_simhash_pivots,
     op8_secret_ownership,
 )}
