@@ -12,6 +12,9 @@ from glyphloom.llm.common import arrow_stage, as_bytes, remainder
 
 BLOCK = 1024
 LEVEL = 3
+PLAIN = 0.6  # sizes above this share of the length are not told apart
+SHORT = 64.0
+FEATURES = 5
 
 
 @dataclass(frozen=True)
@@ -60,16 +63,24 @@ class Sizes:
             self.packers.append(zstandard.ZstdCompressor(
                 write_content_size=False, write_checksum=False, write_dict_id=False, **options))
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        """The difference over the sum of both sizes, over the whole text, and the same of
-        the blocks' mean sign: how evenly the blocks agree.  Zeros for an empty text."""
-        if not text:
-            return 0.0, 0.0
+    def features(self, text: bytes) -> list[float]:
+        """Of the whole text: the difference of both sizes over their sum; how evenly the
+        blocks agree on its sign; the size over the length, mean and least block (repeated
+        words shrink under any dictionary); and how short the text is, since the sizes of a
+        few bytes say little.  A tail shorter than a block joins the block before it."""
+        blocks = _blocks(text, self.block)
+        if len(blocks) > 1 and len(blocks[-1]) < self.block:
+            tail = blocks.pop()
+            blocks[-1] += tail
         good, bad = self.packers
-        pairs = [(len(good.compress(b)), len(bad.compress(b))) for b in _blocks(text, self.block)]
-        first, second = sum(g for g, _ in pairs), sum(b for _, b in pairs)
-        share = sum((b > g) - (b < g) for g, b in pairs) / len(pairs)
-        return (second - first) / (second + first), share
+        sizes = np.array([(len(good.compress(b)), len(bad.compress(b)), len(b))
+                          for b in blocks or [b""]], float)
+        first, second, length = sizes.sum(0)
+        ratio = np.minimum(sizes[:, 0] / np.maximum(sizes[:, 2], 1), PLAIN)
+        short = np.exp(-length / SHORT)
+        return [(second - first) / (second + first) * (1 - short),
+                float(np.sign(sizes[:, 1] - sizes[:, 0]).mean()) * (1 - short),
+                float(ratio.mean()), float(ratio.min()), short]
 
 
 def calibrate(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3,
@@ -125,10 +136,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         side = halves[int(row.label)]
         side[len(side[0]) > len(side[1])].append(row.text.encode())
     model = Model(build_dictionary(halves[1][0], dict_size) if halves[1][0] else b"",
-                  build_dictionary(halves[0][0], dict_size) if halves[0][0] else b"", 0.0, (0.0, 0.0))
+                  build_dictionary(halves[0][0], dict_size) if halves[0][0] else b"",
+                  0.0, (0.0,) * FEATURES)
     sizes = Sizes(model)
     held = [(sizes.features(t), value) for value in (0, 1) for t in halves[value][1]]
-    found = np.array([f for f, _ in held], float).reshape(-1, 2)
+    found = np.array([f for f, _ in held], float).reshape(-1, FEATURES)
     bias, weights = calibrate(found, np.array([v for _, v in held], float))
     return Model(model.good, model.bad, bias, weights)
 
@@ -150,7 +162,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         sizes = Sizes(model)
         for batch in batches:
             found = np.array([sizes.features(t) for t in as_bytes(batch.column(len(columns)))],
-                             float).reshape(-1, 2)
+                             float).reshape(-1, FEATURES)
             line = np.clip(model.bias + found @ np.array(model.weights), -30, 30)
             yield pa.record_batch([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-line)))],
                                   [*columns, "score"])

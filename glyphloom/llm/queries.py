@@ -6,17 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphloom.llm import packing, secrets, simhash
-from glyphloom.llm.common import table
+from glyphloom.llm import decontam, packing, quality, secrets, simhash
+from glyphloom.llm.common import remainder, table
 from glyphloom.llm.sql import SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cgk_decontamination(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"),
+                                  table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op3_minimum_bin_slack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_compression_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_simhash_pivots(spark, sf_dir):
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"),
@@ -34,7 +47,9 @@ def op8_secret_ownership(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_cgk_decontamination,
     op3_minimum_bin_slack,
+    op4_compression_quality,
     op5_simhash_pivots,
     op8_secret_ownership,
 )}
