@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphloom.llm import decontam, packing, quality, secrets, simhash
 from glyphloom.llm.common import table
-from glyphloom.session import checkpointed, written
+from glyphloom.session import checkpointed, small, written
 
 LEAST_SCORE = 0.3
 
@@ -32,23 +32,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component, the one with the smallest id.
 
-    Of repeated rows of that id one stays; documents without an id have no identity to
-    keep one by and all stay unless a document with an id is in their component.
+    Of repeated rows of an id one stays.  Documents without an id all stay.
     """
-    found = simhash.simhash_groups(docs)
-    keep = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    alone = found.where("component_id IS NULL").limit(1).count()
+    found = simhash.simhash_groups(docs.where("doc_id IS NOT NULL"))
+    keep = found.where("id = component_id").select(F.col("id").alias("doc_id"))
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if alone:
-        kept = kept.unionByName(docs.where("doc_id IS NULL"))
-    return kept.select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
     leaked = checkpointed(found.select(F.col("id").alias("doc_id")).distinct())
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(leaked, leaked.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
