@@ -14,7 +14,7 @@ from glyphloom.session import checkpointed, parallelism
 
 WINDOW = 2048
 END_ID = 1
-CACHE = 400_000
+CACHE = 60_000  # chunks in each of the cache's two generations
 # A space before a non-space character always starts a pre-token of the byte-level pattern.
 _CUT = re.compile(r" (?=\S)")
 
@@ -49,10 +49,13 @@ class ChunkEncoder:
         encode = self.encode_chunk
 
         class Cache(dict):
+            older: dict = {}
+
             def __missing__(self, chunk: str) -> bytes:
                 if len(self) >= CACHE:
+                    self.older = dict(self)
                     self.clear()
-                found = self[chunk] = encode(" " + chunk)
+                found = self[chunk] = self.older.get(chunk) or encode(" " + chunk)
                 return found
 
         self.cache = Cache()
