@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphloom.llm import decontam, packing, quality, secrets, simhash
+from glyphloom.llm import decontam, packing, quality, secrets, simhash, suffix
 from glyphloom.llm.common import remainder, table
 from glyphloom.llm.sql import SQL  # noqa: F401
 
@@ -46,10 +46,16 @@ def op8_secret_ownership(spark, sf_dir):
         F.sha2(base, 256).alias("base_sha256"), secrets.span_text(spans).alias("spans"))
 
 
+def op9_bucket_pointer_dedup(spark, sf_dir):
+    return suffix.repeated_bytes(table(spark, sf_dir, "documents")).withColumnRenamed(
+        "id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_cgk_decontamination,
     op3_minimum_bin_slack,
     op4_compression_quality,
     op5_simhash_pivots,
     op8_secret_ownership,
+    op9_bucket_pointer_dedup,
 )}
