@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphloom.llm import decontam, packing, pq, quality, secrets, simhash, suffix
+from glyphloom.llm import brown, decontam, packing, pq, quality, secrets, simhash, suffix
 from glyphloom.llm.common import remainder, table
 from glyphloom.llm.sql import SQL  # noqa: F401
 
@@ -37,6 +37,10 @@ def op5_simhash_pivots(spark, sf_dir):
                         "component_id")
 
 
+def op6_brown_classes(spark, sf_dir):
+    return brown.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_product_quantisation(spark, sf_dir):
     return pq.embedding_groups(table(spark, sf_dir, "embeddings")).withColumnRenamed(
         "id", "vec_id")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op3_minimum_bin_slack,
     op4_compression_quality,
     op5_simhash_pivots,
+    op6_brown_classes,
     op7_product_quantisation,
     op8_secret_ownership,
     op9_bucket_pointer_dedup,
