@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphloom.llm import brown, decontam, packing, pq, quality, secrets, simhash, suffix
+from glyphloom.llm import brown, decontam, mincut, packing, pq, quality, secrets, simhash, suffix
 from glyphloom.llm.common import remainder, table
 from glyphloom.llm.sql import SQL  # noqa: F401
 
@@ -60,6 +60,11 @@ def op9_bucket_pointer_dedup(spark, sf_dir):
         "id", "doc_id")
 
 
+def op10_minimum_cut(spark, sf_dir):
+    return mincut.extract_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_cgk_decontamination,
     op3_minimum_bin_slack,
@@ -69,4 +74,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op7_product_quantisation,
     op8_secret_ownership,
     op9_bucket_pointer_dedup,
+    op10_minimum_cut,
 )}
