@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphloom.llm import brown, decontam, mincut, packing, pq, quality, secrets, simhash, suffix
+from glyphloom.llm import brown, decontam, mincut, packing, passages, pq, quality, secrets, simhash, suffix
 from glyphloom.llm.common import remainder, table
 from glyphloom.llm.sql import SQL  # noqa: F401
 
@@ -18,6 +18,14 @@ def op1_cgk_decontamination(spark, sf_dir):
                                   table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op2_compact_windows(spark, sf_dir):
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    span = F.transform("spans", lambda s: F.concat_ws(
+        ":", s["first_word"].cast("string"), s["end_word"].cast("string")))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_passages",
+                        F.array_join(span, ",").alias("spans"))
+
+
 def op3_minimum_bin_slack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -67,6 +75,7 @@ def op10_minimum_cut(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_cgk_decontamination,
+    op2_compact_windows,
     op3_minimum_bin_slack,
     op4_compression_quality,
     op5_simhash_pivots,
