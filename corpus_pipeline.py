@@ -26,7 +26,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     if not (model.good and model.bad):
         return docs
-    return quality.score(docs, model).where(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+    scored = quality.score(docs, model, into="__quality")
+    return scored.where(F.col("__quality") >= LEAST_SCORE).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

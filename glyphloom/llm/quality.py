@@ -145,18 +145,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(model.good, model.bad, bias, weights)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a ``score`` column, 0 to 1, from the whole text; no shuffle.
+def score(docs: DataFrame, model: Model, text_col: str = "text",
+          into: str = "score") -> DataFrame:
+    """``docs`` with the column ``into``, 0 to 1, from the whole text; no shuffle.
 
     A null text is scored as an empty one.  All columns and rows are kept; an input column
-    called ``score`` is replaced.
+    called ``into`` is replaced.
     """
     from pyspark.sql import types as T
 
-    columns = [c for c in docs.columns if c != "score"]
+    columns = [c for c in docs.columns if c != into]
     source = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*(docs.schema[c] for c in columns),
-                           T.StructField("score", T.DoubleType())])
+                           T.StructField(into, T.DoubleType())])
 
     def run(batches):
         sizes = Sizes(model)
@@ -165,6 +166,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                              float).reshape(-1, FEATURES)
             line = np.clip(model.bias + found @ np.array(model.weights), -30, 30)
             yield pa.record_batch([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-line)))],
-                                  [*columns, "score"])
+                                  [*columns, into])
 
     return arrow_stage(source, run, schema)

@@ -73,8 +73,9 @@ def ownership(hits: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  repo_col: str = "doc_id", owner_col: str = "source", owners: int = 1,
                  carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, carried columns and ``spans``, all spans as an array of
-    ``(kind_no, start, finish, live)`` ordered by start, then kind.
+    """One row per input row: ``id``, the columns of ``carry`` under names that begin with
+    ``kept_``, and ``spans``, all spans as an array of ``(start, kind_no, finish, live)``
+    ordered by start, then kind.
 
     Every candidate value is counted over the corpus by distinct repositories and distinct
     owners.  ``live`` marks values that at most ``owners`` owners hold; values that more
@@ -100,8 +101,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_sort(F.collect_list(F.struct("start", "kind_no", "finish", "live"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,kind_no:int,finish:int,live:boolean>>")
     return scanned.drop("hits", "repo", "owner").join(spans, "row_no", "left").select(
-        "id", *[F.col(f"kept_{c}").alias(c) for c in carry],
-        F.coalesce("spans", empty).alias("spans"))
+        "id", *[f"kept_{c}" for c in carry], F.coalesce("spans", empty).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -127,7 +127,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]",
     """
     columns = docs.columns
     found = scan_secrets(docs, repo_col, text_col, repo_col, owner_col, carry=tuple(columns))
-    text = F.col(text_col)
+    text = F.col(f"kept_{text_col}")
     ranges = F.aggregate(
         "spans", F.array().cast("array<struct<start:int,finish:int>>"),
         lambda acc, s: F.when(
@@ -143,5 +143,6 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]",
             r["start"] - F.when(i == 0, 0).otherwise(F.get("ranges", i - 1)["finish"]))),
         F.array(F.substring(text, F.element_at("ranges", -1)["finish"] + 1,
                             F.lit(2147483647)))), mark)
-    return found.withColumn("ranges", ranges).withColumn(
-        text_col, F.when(F.size("ranges") > 0, cut).otherwise(text)).select(*columns)
+    clean = F.when(F.size("ranges") > 0, cut).otherwise(text)
+    return found.withColumn("ranges", ranges).select(
+        *[(clean if c == text_col else F.col(f"kept_{c}")).alias(c) for c in columns])
