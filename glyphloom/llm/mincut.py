@@ -22,6 +22,7 @@ HIDDEN = frozenset(
     "script style head title template noscript iframe object svg math canvas audio video select "
     "textarea button datalist noframes".split())
 RAW = frozenset("script style title textarea noscript iframe template noframes".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 AROUND = frozenset("nav aside footer form menu dialog search".split())
 MAIN = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article main content post entry story body text prose".split())
@@ -184,7 +185,7 @@ def preference(block: Block, has_main: bool) -> float:
     text = "".join(block.parts)
     odds = min(block.size, 400) / 100 - 5 * linked
     odds += 0.5 * any(c in text for c in ".!?。")
-    odds += 1.0 * (element.tag in ("h1", "p", "blockquote", "pre"))
+    odds += 1.0 * (element.tag in PROSE)
     odds -= 1.0 * (element.tag in ("li", "td", "th"))
     return odds - (4.0 if has_main else 1.0)
 
