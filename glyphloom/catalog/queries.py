@@ -73,7 +73,7 @@ def word_vocab(spark, sf_dir):
 
 def word_encode(spark, sf_dir):
     docs = corpus.read_documents(spark, sf_dir)
-    by_token, _ = word.vocab_keys(_word(spark, docs).vocab)
+    by_token = keyed(_word(spark, docs).vocab, "token")
     return word.word_encode_long(docs, by_token).select("doc_id", "pos", "id")
 
 
@@ -220,6 +220,13 @@ def _windows(context: int, stride: int) -> Query:
     return query
 
 
+def lm_windows_full(spark, sf_dir):
+    """Every window of 128 ids at stride 1; both sides as digests."""
+    found = stream.next_token_windows(_word_segments(spark, sf_dir), SETTINGS.context, 1)
+    return found.select("split", "start", F.md5(_joined(F.col("x"))).alias("x"),
+                        F.md5(_joined(F.col("y"))).alias("y"))
+
+
 def split_sizes(spark, sf_dir):
     stored, joining = _word_stream(spark, sf_dir)
     return stream.split_sizes(stream.stream_lengths(stored, joining),
@@ -338,8 +345,9 @@ def _saved_epochs(spark, sf_dir) -> DataFrame:
     """Epoch records of the grid, written run by run and read back."""
     path = scratch_path(spark, "runs")
     for data in _grid(spark, sf_dir).values():
+        model = experiment.epoch_counts(data)
         for kind in ngram.KINDS:
-            runs.write_runs(experiment.epoch_records(data, kind), path)
+            runs.write_runs(experiment.epoch_records(data, kind, model), path)
     return runs.read_runs(spark, path)
 
 
@@ -382,6 +390,7 @@ QUERIES: dict[str, Query] = {
     "stream_positions": stream_positions,
     "lm_windows": _windows(8, 1),
     "lm_windows_stride16": _windows(128, 16),
+    "lm_windows_full": lm_windows_full,
     "split_sizes": split_sizes,
     "lm_batches": lm_batches,
     "target_weights": target_weights,

@@ -348,6 +348,12 @@ SQL: dict[str, str] = {
     "stream_positions": f"WITH {_WORD_STREAM} SELECT split, pos, id FROM w_stream",
     "lm_windows": _window_rows(8, 1),
     "lm_windows_stride16": _window_rows(128, 16),
+    "lm_windows_full": f"""WITH {_WORD_STREAM},
+        rows_of AS (SELECT split, pos, list(id) OVER (PARTITION BY split ORDER BY pos
+            ROWS BETWEEN CURRENT ROW AND {_CONTEXT} FOLLOWING) AS ids FROM w_stream)
+        SELECT split, pos AS start, md5(array_to_string(ids[1:{_CONTEXT}], ' ')) AS x,
+            md5(array_to_string(ids[2:{_CONTEXT} + 1], ' ')) AS y
+        FROM rows_of WHERE len(ids) = {_CONTEXT} + 1""",
     "split_sizes": f"""WITH {_WORD_STREAM} SELECT split, count(*) AS n_tokens,
         count(*) - {_CONTEXT} AS n_windows,
         CAST(ceil((count(*) - {_CONTEXT}) / {_BATCH}) AS BIGINT) AS n_batches

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # The special tokens, in id order 0..3.
@@ -14,7 +16,7 @@ WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 # Word runs and punctuation runs; white space separates.
 PRETOKEN = r"(?U)(\w+|[^\w\s]+)"
 # The same, with literal special tokens cut out first.
-_SPECIAL = r"<(?:pad|unk|bos|eos)>"
+_SPECIAL = "(?:" + "|".join(map(re.escape, SPECIALS)) + ")"
 PRETOKEN_SPECIALS = rf"(?U)({_SPECIAL}|\w+|(?:(?!{_SPECIAL})[^\w\s])+)"
 # The same as PRETOKEN, each white space character kept as a unit of its own.
 PRETOKEN_RAW = r"(?U)(\s|\w+|[^\w\s]+)"

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from glyphloom.functions.segment import merge_unit
-from glyphloom.functions.text import PRETOKEN_RAW, PRETOKEN_SPECIALS, SPECIALS, UNK, neighbours
+from glyphloom.functions.text import (PRETOKEN_RAW, PRETOKEN_SPECIALS, SPECIALS, UNK, neighbours,
+                                      pretokens)
 from glyphloom.operators.stream import Joining
-from glyphloom.operators.subword import (alphabet, encode_with, special_ids, subword_decode,
-                                         unit_counts, unit_table)
+from glyphloom.operators.narrow import encode_in_place
+from glyphloom.operators.subword import alphabet, special_ids, subword_decode
 from glyphloom.session import checkpointed, parallelism
 
 # Merges applied on the fly before the unit table is rewritten and checkpointed.
@@ -62,8 +63,7 @@ class BpeModel:
 
 def bpe_encode(docs: DataFrame, model: BpeModel) -> DataFrame:
     """``(split, doc_id, ids)`` without begin and end markers."""
-    units = unit_counts(docs, model.pattern)
-    return encode_with(docs, model.pattern, unit_table(units, model.segmenter()))
+    return encode_in_place(docs, pretokens(F.col("text"), model.pattern), model.segmenter())
 
 
 def bpe_decode(encoded: DataFrame, model: BpeModel, skip_specials: bool = True) -> DataFrame:
@@ -116,8 +116,10 @@ def bpe_train(units: DataFrame, vocab_size: int = 5000, top: int = 1000) -> BpeM
 
 def _marks(ids: dict[str, int]) -> tuple[str, str]:
     """Two private-use characters that do not occur in the texts."""
-    free = (chr(c) for c in range(0xE000, 0xF900) if chr(c) not in ids)
-    return next(free), next(free)
+    free = [chr(c) for c in range(0xE000, 0xF900) if chr(c) not in ids]
+    if len(free) < 2:
+        raise ValueError("the texts use every private-use character; training needs two")
+    return free[0], free[1]
 
 
 def _merged(base: DataFrame, merges: list[tuple[str, str]], open_: str,
@@ -153,31 +155,38 @@ def _next_merges(current: DataFrame, border: str, ids: dict[str, int],
     counted = (current.select("n", symbols.alias("s"))
                .select("n", F.explode(neighbours(F.col("s"))).alias("p"))
                .groupBy("p.prev", "p.cur").agg(F.sum("n").alias("n")))
-    while True:
-        rows = counted.orderBy(F.desc("n")).limit(top).collect()
-        cut = len(rows) == top
-        if not (cut and rows[0].n == rows[-1].n):
-            break
-        # The winner among equals may lie beyond the limit.
-        top *= 4
+    rows = counted.orderBy(F.desc("n")).limit(top).collect()
+    cut = len(rows) == top
+    if cut and rows[0].n == rows[-1].n:
+        # The winner among equals may lie beyond the limit: rank them by id, in Spark.
+        names = F.broadcast(current.sparkSession.createDataFrame(
+            list(ids.items()), "token string, id int"))
+        equal = counted.where(F.col("n") == rows[0].n)
+        for side in ("prev", "cur"):
+            equal = equal.join(names.select(F.col("token").alias(side),
+                                            F.col("id").alias(f"{side}_id")), side)
+        rows = equal.orderBy("prev_id", "cur_id").limit(top).collect()
     ranked = sorted(((-r.n, ids[r.prev], ids[r.cur], r.prev, r.cur) for r in rows))
     if not ranked or ranked[0][0] >= 0:
         return []
     first = ranked[0]
     accepted = [first]
     made = {first[3] + first[4]}
-    touched = {first[3], first[4]}
+    lefts, rights = {first[3]}, {first[4]}
     # A self-pair, or a merge that recreates a known symbol, can raise other counts.
     if first[3] == first[4] or first[3] + first[4] in ids:
         return [first[3:]]
     bar = -rows[-1].n if cut else 0
     for row in ranked[1:]:
         left, right = row[3:]
-        if (left == right or left in touched or right in touched
+        # A merge changes the counts of pairs that begin with its right symbol or end with
+        # its left one; others occur at other places.
+        if (left == right or left in rights or right in lefts
                 or left + right in ids or left + right in made):
             bar = row[0]
             break
         accepted.append(row)
-        touched |= {left, right}
+        lefts.add(left)
+        rights.add(right)
         made.add(left + right)
     return [first[3:]] + [row[3:] for row in accepted[1:] if row[0] < bar]

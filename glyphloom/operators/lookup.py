@@ -1,4 +1,4 @@
-"""Left join of many rows to a keyed table, safe for heavy keys."""
+"""Left join of many rows to a keyed table, by its measured size."""
 
 from __future__ import annotations
 
@@ -8,31 +8,22 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from glyphloom.session import BROADCAST_BYTES, BROADCAST_ROWS
 
-# A key with at least this share of all rows is heavy; there are at most 1 / share.
-HEAVY_SHARE = 1e-5
-
 
 @dataclass(frozen=True)
 class Keyed:
-    """A table with a unique ``key``, measured: its size decides how it is joined.
-
-    ``weight`` names a column with each key's number of rows on the other side, and
-    ``total`` is its sum.
-    """
+    """A table with a unique ``key``, measured: its size decides how it is joined."""
 
     table: DataFrame
     key: str
     rows: int
     bytes: int
-    weight: str | None = None
-    total: int = 0
 
     @property
     def fits(self) -> bool:
         return self.rows <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
 
     def payload(self) -> list[str]:
-        return [c for c in self.table.columns if c not in (self.key, self.weight)]
+        return [c for c in self.table.columns if c != self.key]
 
 
 def _width(field: T.StructField) -> Column:
@@ -43,37 +34,19 @@ def _width(field: T.StructField) -> Column:
     return F.lit(8)
 
 
-def keyed(table: DataFrame, key: str, weight: str | None = None) -> Keyed:
+def keyed(table: DataFrame, key: str) -> Keyed:
     """Measure a stored table by one aggregate over it."""
     width = sum((_width(f) for f in table.schema.fields), F.lit(16))
     row = table.agg(F.count(F.lit(1)).alias("rows"),
-                    F.coalesce(F.sum(width), F.lit(0)).alias("bytes"),
-                    F.coalesce(F.sum(weight) if weight else F.lit(0), F.lit(0)).alias("total")
-                    ).first()
-    return Keyed(table, key, row.rows, row.bytes, weight, row.total)
+                    F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return Keyed(table, key, row.rows, row.bytes)
 
 
 def lookup(rows: DataFrame, found: Keyed) -> DataFrame:
     """``rows`` left-joined to the table on its key.
 
-    A table within the broadcast limits is broadcast: no row moves.  Beyond them the
-    heavy keys alone are broadcast, and only rows with other keys are shuffled, so that
-    no reducer receives a heavy key.  Heavy keys are few, and short on average: each one
-    fills its share of the rows with its own text.
+    A table within the broadcast limits is broadcast: no row moves.  Beyond them both sides
+    are shuffled; the table has one row per key, so adaptive execution splits heavy keys.
     """
-    key, payload = found.key, found.payload()
-    table = found.table.select(key, *payload)
-    if found.fits:
-        return rows.join(F.broadcast(table), key, "left")
-    if found.weight is None:
-        return rows.join(table, key, "left")
-    heavy = (found.table.where(F.col(found.weight) >= found.total * HEAVY_SHARE)
-             .select(key, *payload, F.lit(True).alias("heavy")))
-    tried = rows.join(F.broadcast(heavy), key, "left")
-    hits = tried.where("heavy").drop("heavy")
-    rest = tried.where(F.col("heavy").isNull()).drop("heavy", *payload)
-    # Null keys match nothing and need no join.
-    nulls = rest.where(F.col(key).isNull()).select(
-        *rest.columns, *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in payload])
-    joined = rest.where(F.col(key).isNotNull()).join(table, key, "left")
-    return hits.unionByName(nulls).unionByName(joined)
+    table = found.table.select(found.key, *found.payload())
+    return rows.join(F.broadcast(table) if found.fits else table, found.key, "left")

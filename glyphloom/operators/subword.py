@@ -1,16 +1,11 @@
-"""What BPE and unigram share: unit counts, encoding through a unit table, decoding."""
+"""What BPE and unigram share: unit counts, the alphabet, decoding."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from glyphloom.functions.text import PRETOKEN, SPECIALS, UNK, pretokens, strip_specials
-from glyphloom.operators.lookup import Keyed, keyed, lookup
-from glyphloom.operators.word import ids_to_tokens
-from glyphloom.session import checkpointed, parallelism
+from glyphloom.operators.narrow import decode_in_place, tokens_by_id
 
 
 def unit_counts(docs: DataFrame, pattern: str = PRETOKEN) -> DataFrame:
@@ -29,33 +24,6 @@ def alphabet(units: DataFrame) -> DataFrame:
     return chars.select(number.alias("id"), "token")
 
 
-def unit_table(units: DataFrame, segment: Callable[[str], list[int]]) -> Keyed:
-    """``(unit, ids, n)``: each distinct unit is segmented once; stored and measured."""
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"unit": batch["unit"], "n": batch["n"],
-                                "ids": [segment(u) for u in batch["unit"]]})
-
-    work = units.repartition(parallelism(units.sparkSession), "unit")
-    table = checkpointed(work.mapInPandas(run, "unit string, n bigint, ids array<int>"))
-    return keyed(table, "unit", weight="n")
-
-
-def encode_with(docs: DataFrame, pattern: str, table: Keyed) -> DataFrame:
-    """``(split, doc_id, ids)`` by looking up each pre-token of each document.
-
-    Documents are partitioned by id first, so the pieces are collected where they are
-    unless the table is too large to broadcast.  A null unit keeps empty documents in.
-    """
-    units = F.concat(pretokens(F.col("text"), pattern), F.array(F.lit(None).cast("string")))
-    exploded = docs.repartition("split", "doc_id").select(
-        "split", "doc_id", F.posexplode(units).alias("pos", "unit"))
-    found = lookup(exploded, table)
-    parts = F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))
-    return found.groupBy("split", "doc_id").agg(F.sort_array(parts).alias("parts")).select(
-        "split", "doc_id", F.flatten(F.col("parts.ids")).alias("ids"))
-
-
 def subword_decode(encoded: DataFrame, vocab: DataFrame, registered: bool = True,
                    skip_specials: bool = True) -> DataFrame:
     """``(split, doc_id, text)``: tokens joined by spaces, special tokens removed.
@@ -65,7 +33,7 @@ def subword_decode(encoded: DataFrame, vocab: DataFrame, registered: bool = True
     splitting: pieces of one word stay apart.
     """
     skip = tuple(range(len(SPECIALS))) if registered else ()
-    joined = ids_to_tokens(encoded, keyed(vocab, "id"), skip)
+    joined = decode_in_place(encoded, tokens_by_id(vocab), skip)
     if not skip_specials:
         return joined
     return joined.withColumn("text", strip_specials(F.col("text")))

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from glyphloom.functions.segment import (best_path, digamma, expected_uses,
                                          with_prefixes)
-from glyphloom.functions.text import PRETOKEN_SPECIALS, SPECIALS, UNK
+from glyphloom.functions.text import PRETOKEN_SPECIALS, SPECIALS, UNK, pretokens
 from glyphloom.operators.stream import Joining
-from glyphloom.operators.subword import (encode_with, fuse_unknown, special_ids,
-                                         subword_decode, unit_counts, unit_table)
+from glyphloom.operators.narrow import encode_in_place
+from glyphloom.operators.subword import fuse_unknown, special_ids, subword_decode
 from glyphloom.session import checkpointed, parallelism
 
 # Fixed values of the training method.
@@ -61,8 +61,7 @@ class UnigramModel:
 
 def unigram_encode(docs: DataFrame, model: UnigramModel) -> DataFrame:
     """``(split, doc_id, ids)`` without begin and end ids."""
-    units = unit_counts(docs, PRETOKEN_SPECIALS)
-    return encode_with(docs, PRETOKEN_SPECIALS, unit_table(units, model.segmenter()))
+    return encode_in_place(docs, pretokens(F.col("text"), PRETOKEN_SPECIALS), model.segmenter())
 
 
 def unigram_decode(encoded: DataFrame, model: UnigramModel,

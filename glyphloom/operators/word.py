@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, Window, functions as F
 
-from glyphloom.functions.text import EOS, SPECIALS, UNK, whitespace_tokens
+from glyphloom.functions.text import SPECIALS, UNK, whitespace_tokens, with_specials
 from glyphloom.operators.lookup import Keyed, keyed, lookup
+from glyphloom.operators.narrow import decode_in_place, encode_in_place, tokens_by_id
 from glyphloom.session import checkpointed
 
 
@@ -76,12 +75,6 @@ def word_vocab(docs: DataFrame, vocab_size: int = 5000) -> DataFrame:
     return specials.unionByName(numbered)
 
 
-def vocab_keys(vocab: DataFrame) -> tuple[Keyed, Keyed]:
-    """A stored vocabulary measured once, keyed by token and by id."""
-    by_token = keyed(vocab.select("id", "token"), "token")
-    return by_token, replace(by_token, key="id")
-
-
 def word_encode_long(docs: DataFrame, by_token: Keyed, add_specials: bool = True) -> DataFrame:
     """``(split, doc_id, pos, id)``: one row per token; unknown words get the unk id."""
     tokens = whitespace_tokens(F.col("text"))
@@ -92,39 +85,15 @@ def word_encode_long(docs: DataFrame, by_token: Keyed, add_specials: bool = True
         "split", "doc_id", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
 
 
-def word_encode(docs: DataFrame, by_token: Keyed, add_specials: bool = False) -> DataFrame:
-    """``(split, doc_id, ids)``.
+def word_encode(docs: DataFrame, vocab: DataFrame, add_specials: bool = False) -> DataFrame:
+    """``(split, doc_id, ids)``; unknown words get the unk id.  No row moves."""
+    ids = {token: i for i, token in enumerate(tokens_by_id(vocab))}
+    encoded = encode_in_place(docs, whitespace_tokens(F.col("text")),
+                              lambda token: [ids.get(token, UNK)])
+    return encoded.withColumn("ids", with_specials(F.col("ids"))) if add_specials else encoded
 
-    Documents are partitioned by id before they are split into tokens: the text moves
-    once, and tokens are looked up and collected again where they are.  An end token
-    per document keeps empty documents in.
-    """
-    rows = word_encode_long(docs.repartition("split", "doc_id"), by_token)
-    arrays = rows.groupBy("split", "doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("parts"))
-    ids = F.col("parts.id")
-    if not add_specials:
-        ids = F.slice(ids, F.lit(2), F.size(ids) - 2)
-    return arrays.select("split", "doc_id", ids.alias("ids"))
-
-
-def ids_to_tokens(encoded: DataFrame, by_id: Keyed, skip: tuple[int, ...]) -> DataFrame:
-    """``(split, doc_id, text)``: tokens joined by a space; an unknown id is an error."""
-    marked = F.concat(F.col("ids"), F.array(F.lit(EOS)))
-    rows = encoded.repartition("split", "doc_id").select(
-        "split", "doc_id", F.size("ids").alias("n"), F.posexplode(marked).alias("pos", "id"))
-    named = lookup(rows, by_id)
-    missing = F.raise_error(F.concat(F.lit("id out of range: "), F.col("id").cast("string")))
-    token = F.when(F.col("token").isNull(), missing.cast("string")).otherwise(F.col("token"))
-    # The appended row only keeps empty documents in.
-    shown = (F.col("pos") < F.col("n")) & ~F.col("id").isin(*skip) if skip else (
-        F.col("pos") < F.col("n"))
-    parts = F.collect_list(F.when(shown, F.struct("pos", token.alias("token"))))
-    return named.groupBy("split", "doc_id").agg(F.sort_array(parts).alias("parts")).select(
-        "split", "doc_id", F.array_join(F.col("parts.token"), " ").alias("text"))
-
-
-def word_decode(encoded: DataFrame, by_id: Keyed, skip_specials: bool = True) -> DataFrame:
-    """Words joined by a space, special tokens left out."""
+
+def word_decode(encoded: DataFrame, vocab: DataFrame, skip_specials: bool = True) -> DataFrame:
+    """Words joined by a space, special tokens left out; an unknown id is an error."""
     skip = tuple(range(len(SPECIALS))) if skip_specials else ()
-    return ids_to_tokens(encoded, by_id, skip)
+    return decode_in_place(encoded, tokens_by_id(vocab), skip)

@@ -75,9 +75,15 @@ def prepare(docs: DataFrame, tokenizer: Tokenizer, settings: Settings = Settings
 
 
 def train_counts(data: Encoded) -> ngram.Bigrams:
-    """The final model: all of the train split."""
+    """The final model, all of the train split, counted once for all scorers."""
     pairs = data.weighted.where("split = 'train' AND n > 0").select("prev", "cur", "n")
-    return ngram.fit(pairs, data.tokenizer.vocab_size)
+    return ngram.stored(ngram.fit(pairs, data.tokenizer.vocab_size))
+
+
+def epoch_counts(data: Encoded) -> ngram.Bigrams:
+    """The models after each epoch, counted once for all scorers."""
+    train = data.pairs.where("split = 'train'").drop("split")
+    return ngram.stored(ngram.fit_stages(train, data.tokenizer.vocab_size, data.settings.epochs))
 
 
 def evaluate(model: ngram.Bigrams, data: Encoded, kind: str,
@@ -98,9 +104,10 @@ def evaluate(model: ngram.Bigrams, data: Encoded, kind: str,
         "nll_plain", "unk_rate", "n_targets")
 
 
-def run_metrics(data: Encoded, kind: str, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+def run_metrics(data: Encoded, kind: str, splits: tuple[str, ...] = SPLITS,
+                model: ngram.Bigrams | None = None) -> DataFrame:
     """One row per split for the final model, with the run's keys."""
-    return evaluate(train_counts(data), data, kind, splits).drop("stage").select(
+    return evaluate(model or train_counts(data), data, kind, splits).drop("stage").select(
         F.lit(data.tokenizer.name).alias("tokenizer"), F.lit(kind).alias("scorer"), "*")
 
 
@@ -110,15 +117,14 @@ def evaluate_saved(spark: SparkSession, path: str, data: Encoded, kind: str,
     return evaluate(models.load_counts(spark, path), data, kind, (split,)).drop("stage")
 
 
-def epoch_records(data: Encoded, kind: str) -> DataFrame:
+def epoch_records(data: Encoded, kind: str, model: ngram.Bigrams | None = None) -> DataFrame:
     """The twelve-field record of every epoch, with the run's keys.
 
     Epoch ``e`` is the model after slices 0..e of the training data: all epochs come
     from one set of counts.  There is no learning rate; ``lr`` is null.
     """
     settings = data.settings
-    train = data.pairs.where("split = 'train'").drop("split")
-    model = ngram.fit_stages(train, data.tokenizer.vocab_size, settings.epochs)
+    model = model or epoch_counts(data)
     whole = data.weighted.where("split = 'train'").select("prev", "cur", "n")
     train_loss = ngram.smoothed_loss(model, whole, kind, settings.k, settings.share,
                                      settings.smoothing)

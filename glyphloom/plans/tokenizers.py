@@ -49,11 +49,10 @@ def check_name(name: str) -> None:
 
 
 def word_tokenizer(vocab: DataFrame) -> Tokenizer:
-    """From a stored vocabulary ``(id, token)``; it is measured, as joins depend on it."""
-    by_token, by_id = word.vocab_keys(vocab)
-    return Tokenizer("word", vocab, by_token.rows, Joining(),
-                     lambda docs: word.word_encode(docs, by_token),
-                     lambda enc, skip: word.word_decode(enc, by_id, skip))
+    """From a stored vocabulary ``(id, token)``."""
+    return Tokenizer("word", vocab, vocab.count(), Joining(),
+                     lambda docs: word.word_encode(docs, vocab),
+                     lambda enc, skip: word.word_decode(enc, vocab, skip))
 
 
 def byte_tokenizer(spark: SparkSession) -> Tokenizer:
