@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -166,27 +168,43 @@ def _next_merges(current: DataFrame, border: str, ids: dict[str, int],
             equal = equal.join(names.select(F.col("token").alias(side),
                                             F.col("id").alias(f"{side}_id")), side)
         rows = equal.orderBy("prev_id", "cur_id").limit(top).collect()
-    ranked = sorted(((-r.n, ids[r.prev], ids[r.cur], r.prev, r.cur) for r in rows))
-    if not ranked or ranked[0][0] >= 0:
+    return accept([(r.prev, r.cur, r.n) for r in rows], ids, rows[-1].n if cut else 0)
+
+
+def accept(pairs: list[tuple[str, str, int]], ids: dict[str, int],
+           floor: int = 0) -> list[tuple[str, str]]:
+    """The longest run of greedy merges that one set of pair counts settles.
+
+    ``pairs`` holds every pair that occurs more than ``floor`` times.  A merge changes only
+    pairs that begin with its right symbol or end with its left one, and a pair it makes
+    occurs no more often than such a pair did.  So the next pair in order is the next merge
+    if it is none of these itself, and no pair of equal count that is one comes after it.
+    Self-pairs and merges that make a known symbol are left to a round of their own.
+    """
+    ranked = sorted((-n, ids[a], ids[b], a, b) for a, b, n in pairs if n > 0)
+    if not ranked:
         return []
-    first = ranked[0]
-    accepted = [first]
-    made = {first[3] + first[4]}
-    lefts, rights = {first[3]}, {first[4]}
-    # A self-pair, or a merge that recreates a known symbol, can raise other counts.
-    if first[3] == first[4] or first[3] + first[4] in ids:
-        return [first[3:]]
-    bar = -rows[-1].n if cut else 0
-    for row in ranked[1:]:
-        left, right = row[3:]
-        # A merge changes the counts of pairs that begin with its right symbol or end with
-        # its left one; others occur at other places.
-        if (left == right or left in rights or right in lefts
-                or left + right in ids or left + right in made):
-            bar = row[0]
+    first = ranked[0][3:]
+    if first[0] == first[1] or first[0] + first[1] in ids:
+        return [first]
+    taken, made = [first], {first[0] + first[1]}
+    lefts, rights = {first[0]}, {first[1]}
+    equal, begin, end = None, Counter(), Counter()
+    for place, (n, _, _, left, right) in enumerate(ranked[1:], 1):
+        if n != equal:
+            equal = n
+            same = list(takewhile(lambda r: r[0] == n, ranked[place:]))  # noqa: B023
+            begin, end = Counter(r[3] for r in same), Counter(r[4] for r in same)
+        for rest, symbol in ((begin, left), (end, right)):
+            rest[symbol] -= 1
+            if not rest[symbol]:
+                del rest[symbol]
+        if (-n <= floor or left == right or left in rights or right in lefts
+                or left + right in ids or left + right in made
+                or not rights.isdisjoint(begin) or not lefts.isdisjoint(end)):
             break
-        accepted.append(row)
+        taken.append((left, right))
+        made.add(left + right)
         lefts.add(left)
         rights.add(right)
-        made.add(left + right)
-    return [first[3:]] + [row[3:] for row in accepted[1:] if row[0] < bar]
+    return taken

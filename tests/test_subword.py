@@ -112,6 +112,37 @@ def test_random_units_equal_greedy(spark):
         assert _trained(spark, units, 24, top=rng.choice([2, 5, 1000])) == _greedy(units, 24)
 
 
+def test_accepted_runs_equal_greedy():
+    """Whole training runs on counts alone, many merges per round."""
+    rng = random.Random(11)
+    for _ in range(150):
+        units = {"".join(rng.choice("abcdefgh"[:rng.randrange(2, 9)]) for _ in range(
+            rng.randrange(1, 10))): rng.choice([1, 1, 2, 3, 9]) for _ in range(rng.randrange(1, 25))}
+        ids = {t: i for i, t in enumerate([*SPECIALS, *sorted({c for u in units for c in u})])}
+        words, merges, size = {u: list(u) for u in units}, [], 60
+        while len(ids) < size:
+            counts = Counter()
+            for u, w in words.items():
+                for pair in zip(w, w[1:]):
+                    counts[pair] += units[u]
+            found = bpe.accept([(*p, n) for p, n in counts.items()], ids)
+            if not found:
+                break
+            for a, b in found:
+                if len(ids) >= size:
+                    break
+                ids.setdefault(a + b, len(ids))
+                merges.append((a, b))
+                for u, w in words.items():
+                    out, i = [], 0
+                    while i < len(w):
+                        step = 2 if w[i:i + 2] == [a, b] else 1
+                        out.append("".join(w[i:i + step]))
+                        i += step
+                    words[u] = out
+        assert merges == _greedy(units, size)
+
+
 def test_marks_avoid_characters_in_use(spark):
     units = {"abab": 3, "cd": 2}
     assert _trained(spark, units, 12) == _greedy(units, 12)
