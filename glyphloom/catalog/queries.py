@@ -15,7 +15,7 @@ from glyphloom.plans import compare, experiment
 from glyphloom.plans.tokenizers import (Tokenizer, bpe_tokenizer, byte_tokenizer,
                                         train_tokenizer, word_tokenizer)
 from glyphloom.session import checkpointed, scratch_path, spread
-from glyphloom.sources import corpus, models, runs
+from glyphloom.sources import corpus, files, models, runs
 
 VOCAB = 5000
 SETTINGS = experiment.Settings()
@@ -355,6 +355,16 @@ def epoch_records(spark, sf_dir):
     return _rounded(_saved_epochs(spark, sf_dir), *METRICS, "train_loss", "val_loss")
 
 
+def result_files(spark, sf_dir):
+    """Epoch records written as one array file per run, and read back."""
+    path = scratch_path(spark, "results")
+    for data in _grid(spark, sf_dir).values():
+        model = experiment.epoch_counts(data)
+        for kind in ngram.KINDS:
+            files.save_result_files(experiment.epoch_records(data, kind, model), path)
+    return _rounded(runs.read_result_files(spark, path), *METRICS, "train_loss", "val_loss")
+
+
 def curves(spark, sf_dir):
     return _rounded(compare.curves(_saved_epochs(spark, sf_dir)), "train_loss", "val_loss")
 
@@ -405,6 +415,7 @@ QUERIES: dict[str, Query] = {
     "tokenizer_comparison": tokenizer_comparison,
     "saved_model_score": saved_model_score,
     "epoch_records": epoch_records,
+    "result_files": result_files,
     "curves": curves,
     "curve_summary": curve_summary,
 }

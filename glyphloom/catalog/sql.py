@@ -404,3 +404,5 @@ SQL: dict[str, str] = {
         round(min(least(train_loss, nll_token)), 6) AS low,
         round(max(greatest(train_loss, nll_token)), 6) AS high FROM records GROUP BY ALL""",
 }
+
+SQL["result_files"] = SQL["epoch_records"]

@@ -149,10 +149,10 @@ def _prune(units: DataFrame, scores: dict[str, float], letters: set[str],
 
 
 def unigram_train(units: DataFrame, vocab_size: int = 5000,
-                  seed_size: int = 1_000_000) -> UnigramModel:
+                  seed_size: int = 1_000_000, longest: int = LONGEST_PIECE) -> UnigramModel:
     """Learn pieces from ``(unit, n)``.
 
-    Seed with frequent substrings, then alternate re-estimation and pruning until the
+    Seed with the ``seed_size`` best substrings of up to ``longest`` characters, then alternate re-estimation and pruning until the
     target is near, and cut to it by score.  Units stay distributed; the driver holds
     the pieces only, at most ``seed_size`` plus the characters.
     """
@@ -162,7 +162,7 @@ def unigram_train(units: DataFrame, vocab_size: int = 5000,
                .groupBy("piece").agg(F.sum("n").alias("score")).collect())
     letters = {r.piece for r in singles}
     raw = {r.piece: r.score for r in singles}
-    raw.update((r.piece, r.score) for r in substring_seed(units, seed_size).collect())
+    raw.update((r.piece, r.score) for r in substring_seed(units, seed_size, longest).collect())
     log_sum = math.log(sum(raw.values()))
     scores = {p: math.log(s) - log_sum for p, s in sorted(raw.items())}
     target = max(vocab_size - len(SPECIALS), len(letters))

@@ -26,9 +26,11 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as documents, ordered by conversation and turn, in one ``train`` split."""
     scan = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    turn = F.when(F.col("turn").between(0, (1 << 20) - 1), F.col("turn")).otherwise(
-        F.raise_error(F.lit("turn out of range")).cast("bigint"))
-    doc_id = F.shiftleft("conv_id", 20) + turn
+    turns, conversations = 1 << 20, 1 << 42
+    fits = (F.col("turn").between(0, turns - 1)
+            & F.col("conv_id").between(-conversations, conversations - 1))
+    doc_id = F.when(fits, F.col("conv_id") * turns + F.col("turn")).otherwise(
+        F.raise_error(F.lit("turn or conversation out of range")).cast("bigint"))
     return spread(scan.select(doc_id.alias("doc_id"), "text"), "doc_id").select(
         F.lit("train").alias("split"), "doc_id", "text")
 
