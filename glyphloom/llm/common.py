@@ -20,7 +20,7 @@ def remainder(doc_id: Column) -> Column:
 
 
 def arrow_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]],
-                                             Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+                                             Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """``df`` through one Arrow function per task, no shuffle."""
     return df.mapInArrow(run, schema)
 
@@ -30,6 +30,33 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def squeezed(df: DataFrame) -> DataFrame:
+    """``df`` with its last column, a string, compressed as binary (null as empty), so that a
+    join moves about a third of the texts."""
+    from pyspark.sql import types as T
+
+    *others, last = df.schema
+    schema = T.StructType([*others, T.StructField(last.name, T.BinaryType())])
+    names = schema.names
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = pa.array([pack(t) for t in as_bytes(batch.columns[-1])], pa.binary())
+            yield pa.record_batch([*batch.columns[:-1], texts], names)
+
+    return arrow_stage(df, run, schema)
+
+
+def unsqueezed(column: pa.Array) -> list[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t) for t in column.to_pylist()]
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Connected components of ``(a, b)`` as ``(node, label)``, label the smallest node.
 
