@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from glyphloom.catalog.queries import QUERIES
+from glyphloom.catalog.sql import SQL
 from oracle import connect, differences
 
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -19,7 +19,8 @@ def test_query(name, spark, sf_dir):
 
 
 def test_only_trained_pieces_have_no_sql():
-    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(SQL) <= set(QUERIES) and set(SQL) <= set(entry_module.oracle_sql())
     assert {n for n in QUERIES if n not in SQL} == {
         "unigram_vocab", "unigram_encode", "unigram_decode", "run_metrics_subword"}
 
