@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphloom.llm import decontam, packing, quality, secrets, simhash
-from glyphloom.llm.common import table
+from glyphloom.llm.common import row_key, table
 from glyphloom.session import checkpointed, small, written
 
 LEAST_SCORE = 0.3
@@ -31,21 +31,26 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id.
+    """One row of each SimHash component, the one with the smallest id (rows without id
+    last), of several such rows the one with the smallest key of id and text.
 
-    Of repeated rows of an id one stays.  Documents without an id all stay.
+    Rows are told apart by id and text, so different texts under one id, or without an id,
+    are documents of their own, and of rows that repeat both one stays.
     """
-    found = simhash.simhash_groups(docs.where("doc_id IS NOT NULL"))
-    keep = found.where("id = component_id").select(F.col("id").alias("doc_id"))
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    keyed = docs.withColumn("__row", row_key())
+    found = simhash.simhash_groups(keyed, key_col="__row")
+    keep = found.where("row_key = component_key").select(F.col("row_key").alias("__row"))
+    # Repeated rows are combined before the join, so many copies leave each task once.
+    kept = keyed.dropDuplicates(["__row"]).join(keep, "__row", "left_semi")
+    return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaked = checkpointed(found.select(F.col("id").alias("doc_id")).distinct())
-    return docs.join(small(leaked, leaked.count()), "doc_id", "left_anti").select(*docs.columns)
+    """Documents in which no benchmark item stands; rows are told apart by id and text."""
+    keyed = docs.withColumn("__row", row_key())
+    found = decontam.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="__row")
+    leaked = checkpointed(found.select(F.col("id").alias("__row")).distinct())
+    return keyed.join(small(leaked, leaked.count()), "__row", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

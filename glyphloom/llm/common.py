@@ -19,6 +19,13 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """16 bytes that tell rows apart by id and text; never null, equal rows share it."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+             for c in (id_col, text_col)]
+    return F.unhex(F.md5(F.concat(parts[0], F.lit(" "), parts[1])))
+
+
 def arrow_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]],
                                              Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """``df`` through one Arrow function per task, no shuffle."""

@@ -41,21 +41,27 @@ def fingerprint(words: list[bytes], shingle: int = 3) -> int:
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
-    """``(id, fp)`` with the fingerprint as a signed long, one row per input row.
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3,
+                 key_col: str | None = None) -> DataFrame:
+    """``(id, fp)`` with the fingerprint as a signed long, one row per input row; with
+    ``key_col`` its binary value stands between them as ``row_key``.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased.  Null text is
     empty; equal texts, repeated and null ids all keep their rows.
     """
+    names = ["id", "fp"] if key_col is None else ["id", "row_key", "fp"]
+
     def run(batches):
         for batch in batches:
-            prints = [fingerprint(t.lower().split(), shingle) for t in as_bytes(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(
-                np.array(prints, np.uint64).view(np.int64))], ["id", "fp"])
+            prints = [fingerprint(t.lower().split(), shingle) for t in as_bytes(batch.columns[-1])]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(
+                np.array(prints, np.uint64).view(np.int64))], names)
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"),
+    key = [] if key_col is None else [F.col(key_col).alias("row_key")]
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), *key,
                          F.col(text_col).cast("string").alias("text"))
-    return arrow_stage(source, run, "id bigint, fp bigint")
+    kinds = {"id": "bigint", "row_key": "binary", "fp": "bigint"}
+    return arrow_stage(source, run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def _masks(distance: int, extra: int = 3) -> list[int]:
@@ -130,7 +136,7 @@ def near_links(prints: DataFrame, distance: int = 3, block: int = 4096,
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   shingle: int = 3, distance: int = 3) -> DataFrame:
+                   shingle: int = 3, distance: int = 3, key_col: str | None = None) -> DataFrame:
     """``(id, fp, component_id)`` for every row: the smallest id reachable over links
     between fingerprints that differ in at most ``distance`` bits.
 
@@ -138,9 +144,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and empty texts have fingerprint zero and are linked like any other.  A null id keeps
     its row and never becomes a component id; a component of null ids has a null one.
     Repeated rows are kept; an empty table gives an empty result.
+
+    With ``key_col``, a binary key without nulls, the columns ``row_key`` and
+    ``component_key`` are added: the key of the component's row with the smallest id (rows
+    without id last), of several such rows the smallest key.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+    prints = checkpointed(fingerprints(docs, id_col, text_col, shingle, key_col))
     found = components(near_links(prints, distance)).withColumnRenamed("node", "fp")
     marked = prints.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    first = marked.groupBy("label").agg(F.min("id").alias("component_id"))
-    return marked.join(first, "label").select("id", "fp", "component_id")
+    if key_col is None:
+        first = marked.groupBy("label").agg(F.min("id").alias("component_id"))
+        return marked.join(first, "label").select("id", "fp", "component_id")
+    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key"))
+    first = marked.groupBy("label").agg(least.alias("first")).select(
+        "label", F.col("first.id").alias("component_id"),
+        F.col("first.row_key").alias("component_key"))
+    return marked.join(first, "label").select("id", "fp", "component_id", "row_key",
+                                              "component_key")
