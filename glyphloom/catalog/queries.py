@@ -19,9 +19,11 @@ from glyphloom.sources import corpus, files, models, runs
 
 VOCAB = 5000
 SETTINGS = experiment.Settings()
+# Sizes of the queries that SQL repeats; the others train to VOCAB.
 SMALL_MERGES = 8
 MERGES = 64
-PIECES, SEED_PIECES = 500, 2000
+SEED_PIECES = 2000
+SEEDS = 1_000_000
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -132,50 +134,60 @@ def alphabet(spark, sf_dir):
     return subword.alphabet(subword.unit_counts(corpus.read_documents(spark, sf_dir)))
 
 
-def _bpe_model(docs, merges: int) -> bpe.BpeModel:
-    """Trained to a number of merges."""
+def _bpe_model(docs, merges: int | None) -> bpe.BpeModel:
+    """Trained to a number of merges, or to the whole vocabulary."""
     units = checkpointed(subword.unit_counts(docs))
+    if merges is None:
+        return bpe.bpe_train(units, VOCAB)
     size = len(SPECIALS) + subword.alphabet(units).count() + merges
     return bpe.bpe_train(units, size)
 
 
-def _bpe(spark, docs, merges: int, mode: str = "pretokenized") -> Tokenizer:
+def _bpe(spark, docs, merges: int | None, mode: str = "pretokenized") -> Tokenizer:
     """Trained, saved and loaded again."""
     path = scratch_path(spark, "bpe")
     models.save_bpe(_bpe_model(docs, merges), path)
     return bpe_tokenizer(models.load_bpe(spark, path, mode))
 
 
-def bpe_merges(spark, sf_dir):
-    return _bpe_model(corpus.read_documents(spark, sf_dir), MERGES).merges
+def _bpe_merges(merges: int | None) -> Query:
+    def query(spark, sf_dir):
+        return _bpe_model(corpus.read_documents(spark, sf_dir), merges).merges
+    return query
 
 
-def bpe_vocab(spark, sf_dir):
-    return _bpe(spark, corpus.read_documents(spark, sf_dir), MERGES).vocab
+def _bpe_vocab(merges: int | None) -> Query:
+    def query(spark, sf_dir):
+        return _bpe(spark, corpus.read_documents(spark, sf_dir), merges).vocab
+    return query
 
 
-def _bpe_encoded(mode: str) -> Query:
+def _bpe_encoded(mode: str, merges: int | None) -> Query:
     def query(spark, sf_dir):
         docs = corpus.read_documents(spark, sf_dir)
-        encoded = _bpe(spark, docs, SMALL_MERGES, mode).encode(docs, add_specials=False)
+        encoded = _bpe(spark, docs, merges, mode).encode(docs, add_specials=False)
         return encoded.select("doc_id", F.size("ids").alias("n_ids"),
                               _joined(F.col("ids")).alias("ids"))
     return query
 
 
-def bpe_decode(spark, sf_dir):
-    docs = corpus.read_documents(spark, sf_dir)
-    tokenizer = _bpe(spark, docs, SMALL_MERGES)
-    return tokenizer.decode(tokenizer.encode(docs)).select("doc_id", "text")
+def _bpe_decoded(merges: int | None) -> Query:
+    def query(spark, sf_dir):
+        docs = corpus.read_documents(spark, sf_dir)
+        tokenizer = _bpe(spark, docs, merges)
+        return tokenizer.decode(tokenizer.encode(docs)).select("doc_id", "text")
+    return query
 
 
-def unigram_seed(spark, sf_dir):
-    units = subword.unit_counts(corpus.read_documents(spark, sf_dir))
-    return unigram.substring_seed(units, SEED_PIECES)
+def _unigram_seed(size: int) -> Query:
+    def query(spark, sf_dir):
+        units = subword.unit_counts(corpus.read_documents(spark, sf_dir))
+        return unigram.substring_seed(units, size)
+    return query
 
 
 def _unigram(spark, docs) -> Tokenizer:
-    return train_tokenizer("unigram", docs, PIECES, seed_size=SEED_PIECES)
+    return train_tokenizer("unigram", docs, VOCAB, seed_size=SEEDS)
 
 
 def unigram_vocab(spark, sf_dir):
@@ -314,11 +326,11 @@ def run_metrics(spark, sf_dir):
 
 
 def run_metrics_subword(spark, sf_dir):
-    """All four tokenizers; small subword vocabularies keep the training short."""
+    """All four tokenizers, trained to VOCAB."""
     docs = corpus.read_documents(spark, sf_dir)
     train = corpus.pick_split(docs, "train")
     path = scratch_path(spark, "bpe")
-    models.save_bpe(_bpe_model(train, SMALL_MERGES), path)
+    models.save_bpe(_bpe_model(train, None), path)
     raw = bpe_tokenizer(models.load_bpe(spark, path, "raw"))
     tokenizers = [train_tokenizer("word", train, VOCAB), byte_tokenizer(spark),
                   bpe_tokenizer(models.load_bpe(spark, path)), replace(raw, name="bpe-raw"),
@@ -388,12 +400,12 @@ QUERIES: dict[str, Query] = {
     "language_profile": language_profile,
     "pretoken_counts": pretoken_counts,
     "alphabet": alphabet,
-    "bpe_merges": bpe_merges,
-    "bpe_vocab": bpe_vocab,
-    "bpe_encode": _bpe_encoded("pretokenized"),
-    "bpe_encode_raw": _bpe_encoded("raw"),
-    "bpe_decode": bpe_decode,
-    "unigram_seed": unigram_seed,
+    "bpe_merges": _bpe_merges(MERGES),
+    "bpe_vocab": _bpe_vocab(MERGES),
+    "bpe_encode": _bpe_encoded("pretokenized", SMALL_MERGES),
+    "bpe_encode_raw": _bpe_encoded("raw", SMALL_MERGES),
+    "bpe_decode": _bpe_decoded(SMALL_MERGES),
+    "unigram_seed": _unigram_seed(SEED_PIECES),
     "unigram_vocab": unigram_vocab,
     "unigram_encode": unigram_encode,
     "unigram_decode": unigram_decode,
@@ -419,3 +431,13 @@ QUERIES: dict[str, Query] = {
     "curves": curves,
     "curve_summary": curve_summary,
 }
+
+# At the size of the reference, which SQL cannot repeat in a reasonable time.
+FULL: dict[str, Query] = {
+    "bpe_merges_full": _bpe_merges(None),
+    "bpe_vocab_full": _bpe_vocab(None),
+    "bpe_encode_full": _bpe_encoded("pretokenized", None),
+    "bpe_encode_raw_full": _bpe_encoded("raw", None),
+    "bpe_decode_full": _bpe_decoded(None),
+    "unigram_seed_full": _unigram_seed(SEEDS),
+}
