@@ -42,6 +42,33 @@ def merge_unit(unit: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return [p for p in parts if p is not None]
 
 
+def merge_in_order(unit: list[int], rules: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """Symbols after the rules ``pair -> (rank, symbol)``, each applied once, by rank.
+
+    A pair that a rule makes is merged by later rules only, as in training.
+    """
+    parts: list[int | None] = list(unit)
+    n = len(parts)
+    waiting = [(rules[p][0], i) for i, p in enumerate(zip(parts, parts[1:])) if p in rules]
+    heapq.heapify(waiting)
+    right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+    while waiting:
+        rank, i = heapq.heappop(waiting)
+        j = right[i]
+        if parts[i] is None or j >= n or rules.get((parts[i], parts[j]), (-1,))[0] != rank:
+            continue
+        parts[i], parts[j] = rules[parts[i], parts[j]][1], None
+        right[i] = k = right[j]
+        if k < n:
+            left[k] = i
+        for a, b in ((left[i], i), (i, k)):
+            if a >= 0 and b < n:
+                later = rules.get((parts[a], parts[b]))
+                if later and later[0] > rank:
+                    heapq.heappush(waiting, (later[0], a))
+    return [p for p in parts if p is not None]
+
+
 def with_prefixes(scores: dict[str, float]) -> dict[str, float | None]:
     """The scores, plus every proper prefix of a piece with None: a search may stop at
     the first text that is neither."""

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import takewhile
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from glyphloom.functions.segment import merge_unit
-from glyphloom.functions.text import (PRETOKEN_RAW, PRETOKEN_SPECIALS, SPECIALS, UNK, neighbours,
-                                      pretokens)
+from glyphloom.functions.segment import merge_in_order, merge_unit
+from glyphloom.functions.text import PRETOKEN_RAW, PRETOKEN_SPECIALS, SPECIALS, UNK, pretokens
 from glyphloom.operators.stream import Joining
 from glyphloom.operators.narrow import encode_in_place
 from glyphloom.operators.subword import alphabet, special_ids, subword_decode
 from glyphloom.session import checkpointed, parallelism
 
-# Merges applied on the fly before the unit table is rewritten and checkpointed.
-PENDING_MERGES = 16
+# What one round brings to the driver at most: pairs, and symbols of regions.
+LIVE_PAIRS = 50_000
+REGION_SYMBOLS = 500_000
+SPELLED = "n bigint, ids array<int>"
 
 
 @dataclass(frozen=True)
@@ -73,40 +77,43 @@ def bpe_decode(encoded: DataFrame, model: BpeModel, skip_specials: bool = True)
                           skip_specials=skip_specials)
 
 
-def bpe_train(units: DataFrame, vocab_size: int = 5000, top: int = 1000) -> BpeModel:
+def bpe_train(units: DataFrame, vocab_size: int = 5000,
+              region_symbols: int = REGION_SYMBOLS) -> BpeModel:
     """Learn merges from ``(unit, n)`` until the vocabulary is full or no pair is left.
 
-    Each round is one Spark job: count adjacent symbol pairs weighted by ``n``, bring the
-    ``top`` most frequent to the driver, accept every one that greedy merging would take
-    before any pair changed by the others, and rewrite the units.
+    A round settles every merge down to some count ``floor``.  A pair that is rarer than
+    that cannot reach it: merging takes occurrences from the pairs beside it, and the pairs
+    it makes are no more frequent than those were.  So only stretches of *live* pairs, at
+    least ``floor`` each, matter: the *regions*.  Spark counts the pairs, cuts the units into
+    regions and adds up equal ones; the driver replays the merges on those (see
+    ``replay``), at most ``region_symbols`` symbols; Spark applies them to all units.  The
+    floor is the lowest whose regions fit, so a round settles hundreds of merges on small
+    corpora and always at least one.
     """
     spark = units.sparkSession
-    units = checkpointed(units.select("unit", "n").repartition(parallelism(spark), "unit"))
     letters = [r.token for r in alphabet(units).orderBy("id").collect()]
     ids = {t: i for i, t in enumerate([*SPECIALS, *letters])}
-    open_, close = _marks(ids)
-    border = close + open_
-    spelled = F.concat(F.lit(open_), F.array_join(F.split("unit", ""), border), F.lit(close))
-    base = checkpointed(units.select("n", spelled.alias("w"))).persist()
+    current = _spelled(units.repartition(parallelism(spark), "unit"), ids)
     merges: list[tuple[str, str]] = []
-    pending: list[tuple[str, str]] = []
+    wanted = LIVE_PAIRS
     while len(ids) < vocab_size:
-        current = _merged(base, pending, open_, close)
-        accepted = _next_merges(current, border, ids, top)
-        if not accepted:
+        ranked = [(r.n, r.left, r.right) for r in _pair_counts(current).orderBy(
+            F.desc("n"), "left", "right").limit(LIVE_PAIRS).collect()]
+        if not ranked:
             break
-        for left, right in accepted:
-            if len(ids) < vocab_size:
-                ids.setdefault(left + right, len(ids))
-                merges.append((left, right))
-                pending.append((left, right))
-        if len(pending) >= PENDING_MERGES:
-            # Units of one symbol have no pair left.
-            old, base = base, checkpointed(_merged(base, pending, open_, close)).where(
-                F.contains("w", F.lit(border))).persist()
-            old.unpersist()
-            pending = []
-    base.unpersist()
+        regions, floor, wanted = _regions(current, ranked, wanted, region_symbols)
+        names = list(ids)
+        steps = replay(regions, floor, ids, vocab_size) if floor else [ranked[0][1:]]
+        for left, right in steps:
+            merges.append((names[left], names[right]))
+            made = names[left] + names[right]
+            if made not in ids:
+                ids[made] = len(ids)
+                names.append(made)
+        if floor == 1:
+            break
+        if len(ids) < vocab_size:
+            current = _applied(current, steps, [ids[names[a] + names[b]] for a, b in steps])
     vocab = spark.createDataFrame(
         pd.DataFrame({"id": list(ids.values()), "token": list(ids)}), "id int, token string")
     merged_rows = pd.DataFrame({"rank": range(len(merges)),
@@ -116,95 +123,180 @@ def bpe_train(units: DataFrame, vocab_size: int = 5000, top: int = 1000) -> BpeM
         merged_rows, "rank int, left string, right string"), len(ids))
 
 
-def _marks(ids: dict[str, int]) -> tuple[str, str]:
-    """Two private-use characters that do not occur in the texts."""
-    free = [chr(c) for c in range(0xE000, 0xF900) if chr(c) not in ids]
-    if len(free) < 2:
-        raise ValueError("the texts use every private-use character; training needs two")
-    return free[0], free[1]
-
-
-def _merged(base: DataFrame, merges: list[tuple[str, str]], open_: str,
-            close: str) -> DataFrame:
-    """Units after ``merges``.
-
-    The merges are one array literal folded over each unit, so the compiled code is the
-    same in every round.
-    """
-    border = close + open_
-
-    def literal(parts: list[str]):
-        # One literal split again: cheaper to plan than an array of literals.
-        return F.split(F.lit("\n".join(parts)), "\n")
-
-    steps = F.arrays_zip(
-        literal([f"{open_}{a}{border}{b}{close}" for a, b in merges]).alias("old"),
-        literal([f"{open_}{a}{b}{close}" for a, b in merges]).alias("new"))
-    w = F.col("w")
-    if merges:
-        w = F.aggregate(steps, w, lambda acc, m: F.replace(acc, m["old"], m["new"]))
-    return base.select("n", w.alias("w"))
-
-
-def _next_merges(current: DataFrame, border: str, ids: dict[str, int],
-                 top: int) -> list[tuple[str, str]]:
-    """Pairs that greedy merging takes next, in its order (count, then ids)."""
-    # A one-character separator splits without a regular expression.
-    inner = F.replace(F.substr("w", F.lit(2), F.length("w") - 2), F.lit(border),
-                      F.lit(border[0]))
-    symbols = F.split(inner, border[0])
-    # Projected first: the generator would evaluate the split once per use.
-    counted = (current.select("n", symbols.alias("s"))
-               .select("n", F.explode(neighbours(F.col("s"))).alias("p"))
-               .groupBy("p.prev", "p.cur").agg(F.sum("n").alias("n")))
-    rows = counted.orderBy(F.desc("n")).limit(top).collect()
-    cut = len(rows) == top
-    if cut and rows[0].n == rows[-1].n:
-        # The winner among equals may lie beyond the limit: rank them by id, in Spark.
-        names = F.broadcast(current.sparkSession.createDataFrame(
-            list(ids.items()), "token string, id int"))
-        equal = counted.where(F.col("n") == rows[0].n)
-        for side in ("prev", "cur"):
-            equal = equal.join(names.select(F.col("token").alias(side),
-                                            F.col("id").alias(f"{side}_id")), side)
-        rows = equal.orderBy("prev_id", "cur_id").limit(top).collect()
-    return accept([(r.prev, r.cur, r.n) for r in rows], ids, rows[-1].n if cut else 0)
-
-
-def accept(pairs: list[tuple[str, str, int]], ids: dict[str, int],
-           floor: int = 0) -> list[tuple[str, str]]:
-    """The longest run of greedy merges that one set of pair counts settles.
-
-    ``pairs`` holds every pair that occurs more than ``floor`` times.  A merge changes only
-    pairs that begin with its right symbol or end with its left one, and a pair it makes
-    occurs no more often than such a pair did.  So the next pair in order is the next merge
-    if it is none of these itself, and no pair of equal count that is one comes after it.
-    Self-pairs and merges that make a known symbol are left to a round of their own.
+def _spelled(units: DataFrame, ids: dict[str, int]) -> DataFrame:
+    """``(n, ids)``: the letters of each unit of two or more."""
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch(
+                [batch.column(0), pa.array([[ids[c] for c in u] for u in batch.column(1).to_pylist()],
+                                           pa.list_(pa.int32()))], ["n", "ids"])
+
+    return checkpointed(units.where(F.char_length("unit") > 1).select("n", "unit")
+                        .mapInArrow(run, SPELLED))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a batch of units, the offsets, and by place the pair that begins there and
+    whether one does."""
+    lists = batch.column(1)
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    symbols = lists.flatten().to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    pairs = np.append(symbols[:-1] << 32 | symbols[1:], 0)[:len(symbols)]
+    inside = np.ones(len(symbols), bool)
+    inside[offsets[1:] - 1] = False
+    return symbols, offsets, pairs, inside
+
+
+def _pair_counts(current: DataFrame) -> DataFrame:
+    """``(left, right, n)`` over all units, added up in each batch before the shuffle."""
+    def run(batches):
+        for batch in batches:
+            _, offsets, pairs, inside = _flat(batch)
+            weights = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))[inside]
+            pairs = pairs[inside]
+            if not len(pairs):
+                continue
+            order = np.argsort(pairs, kind="stable")
+            pairs = pairs[order]
+            heads = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+            keys = pairs[heads]
+            yield pa.record_batch(
+                [pa.array((keys >> 32).astype(np.int32)),
+                 pa.array((keys & 0xFFFFFFFF).astype(np.int32)),
+                 pa.array(np.add.reduceat(weights[order], heads))], ["left", "right", "n"])
+
+    return current.mapInArrow(run, "left int, right int, n bigint").groupBy("left", "right").agg(
+        F.sum("n").alias("n"))
+
+
+def _regions(current: DataFrame, ranked: list[tuple[int, int, int]], wanted: int,
+             symbols: int) -> tuple[list[tuple[list[int], int]], int, int]:
+    """Regions with their counts, the floor they hold for, and how many live pairs to try
+    in the next round.  Floor 0 and no regions if not even the first pairs' fit."""
+    complete = len(ranked) < LIVE_PAIRS
+    take = min(wanted, len(ranked))
+    while True:
+        if take == len(ranked) and complete:
+            floor = 1
+        else:  # pairs as frequent as the last one may be missing
+            floor = ranked[take - 1][0] + 1
+        live = [(a, b) for n, a, b in ranked if n >= floor]
+        if not live:
+            return [], 0, max(take, 2)
+        cut = _cut_regions(current, np.sort(np.array([a << 32 | b for a, b in live], np.int64)))
+        total = cut.agg(F.sum(F.size("ids"))).first()[0]
+        if total <= symbols:
+            found = [(list(r.ids), r.n) for r in cut.toLocalIterator()]
+            cut.unpersist()
+            return found, floor, min(2 * take, LIVE_PAIRS)
+        cut.unpersist()
+        if take == 1:
+            return [], 0, 2
+        take = max(1, min(take // 2, int(take * symbols / total)))
+
+
+def _cut_regions(current: DataFrame, live: np.ndarray) -> DataFrame:
+    """``(ids, n)``: the distinct longest stretches of live pairs."""
+    def run(batches):
+        for batch in batches:
+            symbols, offsets, pairs, inside = _flat(batch)
+            on = inside & np.isin(pairs, live)
+            first = np.flatnonzero(on & ~np.append(False, on[:-1]))
+            last = np.flatnonzero(on & ~np.append(on[1:], False))
+            unit = np.searchsorted(offsets, first, side="right") - 1
+            total: defaultdict = defaultdict(int)
+            flat, weights = symbols.astype(np.int32), batch.column(0).to_numpy()
+            for a, b, n in zip(first.tolist(), (last + 2).tolist(), weights[unit].tolist()):
+                total[flat[a:b].tobytes()] += n
+            yield pa.record_batch(
+                [pa.array([np.frombuffer(k, np.int32) for k in total], pa.list_(pa.int32())),
+                 pa.array(list(total.values()), pa.int64())], ["ids", "n"])
+
+    return current.mapInArrow(run, "ids array<int>, n bigint").groupBy("ids").agg(
+        F.sum("n").alias("n")).persist()
+
+
+def replay(regions: list[tuple[list[int], int]], floor: int, ids: dict[str, int],
+           vocab_size: int) -> list[tuple[int, int]]:
+    """The merges greedy training takes as long as one occurs ``floor`` times.
+
+    ``ids`` numbers the known tokens, new ones get the numbers that follow.  Postings lead
+    from a pair to the regions that may hold it, so a merge reads only those and adds the
+    differences to the counts; the heap is corrected when a stale entry comes up.  Order:
+    count, then the numbers of the two symbols.  With a floor above 1, a merge that makes a
+    known token ends the round: that token may stand beside symbols outside the regions.
     """
-    ranked = sorted((-n, ids[a], ids[b], a, b) for a, b, n in pairs if n > 0)
-    if not ranked:
-        return []
-    first = ranked[0][3:]
-    if first[0] == first[1] or first[0] + first[1] in ids:
-        return [first]
-    taken, made = [first], {first[0] + first[1]}
-    lefts, rights = {first[0]}, {first[1]}
-    equal, begin, end = None, Counter(), Counter()
-    for place, (n, _, _, left, right) in enumerate(ranked[1:], 1):
-        if n != equal:
-            equal = n
-            same = list(takewhile(lambda r: r[0] == n, ranked[place:]))  # noqa: B023
-            begin, end = Counter(r[3] for r in same), Counter(r[4] for r in same)
-        for rest, symbol in ((begin, left), (end, right)):
-            rest[symbol] -= 1
-            if not rest[symbol]:
-                del rest[symbol]
-        if (-n <= floor or left == right or left in rights or right in lefts
-                or left + right in ids or left + right in made
-                or not rights.isdisjoint(begin) or not lefts.isdisjoint(end)):
+    names, known = list(ids), dict(ids)
+    words = [r for r, _ in regions]
+    weights = [n for _, n in regions]
+    counts: defaultdict = defaultdict(int)
+    holders: defaultdict = defaultdict(set)
+    for i, (word, n) in enumerate(regions):
+        for pair in zip(word, word[1:]):
+            counts[pair] += n
+            holders[pair].add(i)
+    heap = [(-n, *pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    steps: list[tuple[int, int]] = []
+    while heap and len(known) < vocab_size:
+        n, left, right = heapq.heappop(heap)
+        pair = left, right
+        if counts.get(pair, 0) != -n:
+            if counts.get(pair, 0) > 0:
+                heapq.heappush(heap, (-counts[pair], left, right))
+            continue
+        if -n < floor:
+            break
+        steps.append(pair)
+        token = names[left] + names[right]
+        repeated = token in known
+        if not repeated:
+            known[token] = len(names)
+            names.append(token)
+        new = known[token]
+        changed = set()
+        for i in holders.pop(pair):
+            old, merged, at = words[i], [], 0
+            while at < len(old):
+                if old[at] == left and at + 1 < len(old) and old[at + 1] == right:
+                    merged.append(new)
+                    at += 2
+                else:
+                    merged.append(old[at])
+                    at += 1
+            if len(merged) == len(old):
+                continue
+            for p in zip(old, old[1:]):
+                counts[p] -= weights[i]
+            for p in zip(merged, merged[1:]):
+                counts[p] += weights[i]
+                if new in p:
+                    holders[p].add(i)
+                    changed.add(p)
+            words[i] = merged
+        for p in changed:
+            if counts[p] > 0:
+                heapq.heappush(heap, (-counts[p], *p))
+        if repeated and floor > 1:
             break
-        taken.append((left, right))
-        made.add(left + right)
-        lefts.add(left)
-        rights.add(right)
-    return taken
+    return steps
+
+
+def _applied(current: DataFrame, steps: list[tuple[int, int]], made: list[int]) -> DataFrame:
+    """Units after the merges; those of one symbol have no pair left and go."""
+    rules = {pair: (rank, new) for rank, (pair, new) in enumerate(zip(steps, made))}
+    starts = np.sort(np.array([a << 32 | b for a, b in rules], np.int64))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets, pairs, inside = _flat(batch)
+            hit = np.append(0, np.cumsum(inside & np.isin(pairs, starts)))
+            touched = hit[offsets[1:]] > hit[offsets[:-1]]
+            kept = [merge_in_order(u, rules) if t else u
+                    for u, t in zip(batch.column(1).to_pylist(), touched.tolist())]
+            long = pa.array([len(u) > 1 for u in kept])
+            yield pa.record_batch([batch.column(0), pa.array(kept, pa.list_(pa.int32()))],
+                                  ["n", "ids"]).filter(long)
+
+    return checkpointed(current.mapInArrow(run, SPELLED))

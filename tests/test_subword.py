@@ -8,7 +8,8 @@ from dataclasses import replace
 import pytest
 from tokenizers import Tokenizer, models as lib, pre_tokenizers, trainers
 
-from glyphloom.functions.segment import best_path, digamma, expected_uses, with_prefixes
+from glyphloom.functions.segment import (best_path, digamma, expected_uses, merge_in_order,
+                                         with_prefixes)
 from glyphloom.functions.text import SPECIALS
 from glyphloom.operators import bpe, subword, unigram
 from glyphloom.plans.tokenizers import bpe_tokenizer, unigram_tokenizer
@@ -68,9 +69,9 @@ def _greedy(units, size):
     return merges
 
 
-def _trained(spark, units, size, top=1000):
+def _trained(spark, units, size, symbols=bpe.REGION_SYMBOLS):
     df = spark.createDataFrame(list(units.items()), "unit string, n bigint")
-    return [(r.left, r.right) for r in bpe.bpe_train(df, size, top).merges.orderBy("rank").collect()]
+    return [(r.left, r.right) for r in bpe.bpe_train(df, size, symbols).merges.orderBy("rank").collect()]
 
 
 @pytest.fixture(scope="module")
@@ -106,40 +107,53 @@ def test_self_pairs_and_overlaps(spark, units):
 
 def test_random_units_equal_greedy(spark):
     rng = random.Random(5)
-    for _ in range(4):
+    for symbols in (9, 25, 1000):
         units = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))):
                  rng.randrange(1, 30) for _ in range(12)}
-        assert _trained(spark, units, 24, top=rng.choice([2, 5, 1000])) == _greedy(units, 24)
+        assert _trained(spark, units, 16, symbols) == _greedy(units, 16)
 
 
-def test_accepted_runs_equal_greedy():
-    """Whole training runs on counts alone, many merges per round."""
+def _cut(word, live):
+    """Longest stretches of live pairs."""
+    runs, at = [], 0
+    while at < len(word) - 1:
+        end = at
+        while end + 1 < len(word) and (word[end], word[end + 1]) in live:
+            end += 1
+        if end > at:
+            runs.append(word[at:end + 1])
+        at = max(end, at + 1)
+    return runs
+
+
+def test_rounds_of_any_floor_equal_greedy():
+    """Whole training runs in rounds of random floors: regions cut, replayed, applied."""
     rng = random.Random(11)
-    for _ in range(150):
+    for _ in range(300):
         units = {"".join(rng.choice("abcdefgh"[:rng.randrange(2, 9)]) for _ in range(
             rng.randrange(1, 10))): rng.choice([1, 1, 2, 3, 9]) for _ in range(rng.randrange(1, 25))}
         ids = {t: i for i, t in enumerate([*SPECIALS, *sorted({c for u in units for c in u})])}
-        words, merges, size = {u: list(u) for u in units}, [], 60
+        words, merges, size = [([ids[c] for c in u], n) for u, n in units.items()], [], 60
         while len(ids) < size:
             counts = Counter()
-            for u, w in words.items():
+            for w, n in words:
                 for pair in zip(w, w[1:]):
-                    counts[pair] += units[u]
-            found = bpe.accept([(*p, n) for p, n in counts.items()], ids)
-            if not found:
+                    counts[pair] += n
+            if not counts:
+                break
+            floor = rng.choice([1, max(counts.values()), rng.randrange(1, max(counts.values()) + 1)])
+            live = {p for p, n in counts.items() if n >= floor}
+            regions = [(r, n) for w, n in words for r in _cut(w, live)]
+            steps, names = bpe.replay(regions, floor, ids, size), list(ids)
+            for a, b in steps:
+                merges.append((names[a], names[b]))
+                if names[a] + names[b] not in ids:
+                    ids[names[a] + names[b]] = len(ids)
+                    names.append(names[a] + names[b])
+            if floor == 1:
                 break
-            for a, b in found:
-                if len(ids) >= size:
-                    break
-                ids.setdefault(a + b, len(ids))
-                merges.append((a, b))
-                for u, w in words.items():
-                    out, i = [], 0
-                    while i < len(w):
-                        step = 2 if w[i:i + 2] == [a, b] else 1
-                        out.append("".join(w[i:i + step]))
-                        i += step
-                    words[u] = out
+            rules = {p: (k, ids[names[p[0]] + names[p[1]]]) for k, p in enumerate(steps)}
+            words = [(merge_in_order(w, rules), n) for w, n in words]
         assert merges == _greedy(units, size)
 
 
