@@ -189,7 +189,7 @@ def _regions(current: DataFrame, ranked: list[tuple[int, int, int]], wanted: int
         if total <= symbols:
             found = [(list(r.ids), r.n) for r in cut.toLocalIterator()]
             cut.unpersist()
-            return found, floor, min(2 * take, LIVE_PAIRS)
+            return found, floor, min(take * max(2, min(16, symbols // (total or 1))), LIVE_PAIRS)
         cut.unpersist()
         if take == 1:
             return [], 0, 2
