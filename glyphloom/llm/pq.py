@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,14 @@ class Index:
         return x.reshape(len(x), len(self.books), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, the largest component between 0.5 and 1: the same
+    directions to the last bit, and no square leaves the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -77,13 +85,16 @@ def code_distances(index: Index, queries: np.ndarray, number: int, codes: np.nda
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row in double precision, the same whichever side comes first."""
+    x, y = scaled(x), scaled(y)
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
 def train(sample: np.ndarray, rows: int, cosine: float, list_rows: int = 200,
-          max_lists: int = 1024, recall: float = 0.995, seed: int = 5) -> Index:
+          recall: float = 0.995, seed: int = 5) -> Index:
     """Fit the index on a sample of a table of ``rows`` vectors.
 
+    A list has about ``list_rows`` members; from 1,024 lists on their number grows with the
+    square root of ``rows``, and so do the members of a list.
     Probes and reach are the least that find ``recall`` of pairs made by turning sample
     vectors until their cosine is just ``cosine``, and of the sample's true pairs, with a
     margin of half as many probes again.
@@ -91,7 +102,7 @@ def train(sample: np.ndarray, rows: int, cosine: float, list_rows: int = 200,
     draw = np.random.default_rng(seed)
     x = unit(sample.astype(np.float64))
     dim = x.shape[1]
-    lists = int(np.clip(rows // list_rows, 1, min(max_lists, len(x))))
+    lists = int(np.clip(rows // list_rows, 1, min(max(1024, 2 * math.isqrt(rows)), len(x))))
     coarse = kmeans(x, lists, draw)
     of = nearest(x, coarse)[:, 0]
     subspaces = max(s for s in (1, 2, 4, 8) if dim % s == 0)
@@ -100,6 +111,7 @@ def train(sample: np.ndarray, rows: int, cosine: float, list_rows: int = 200,
     books = np.stack([kmeans(residual[:, j], count, draw, 6) for j in range(subspaces)])
     bound = 2 - 2 * cosine
     index = Index(coarse, books, min(8, lists), bound)
+
     def missed(left: np.ndarray, right: np.ndarray, home: np.ndarray):
         """How far down each left row's lists the right row's is, and its code's distance."""
         hit = nearest(left, coarse, min(64, lists)) == home[:, None]
@@ -155,14 +167,14 @@ def embedding_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     """``(id, n_links, component_id, kept)``, one row per input row.
 
     Equal vectors are one node with a number of copies, so a vector that a third of all rows
-    share is one row of the search.  The index is fitted on the ``sample_rows`` nodes of
-    smallest hash and holds every node: coarse lists, and a residual code per node.  A node
+    share is one row of the search.  The index is fitted on the nodes of smallest hash,
+    ``sample_rows`` or eight times the square root of all, and holds every node: coarse lists, and a residual code per node.  A node
     probes its nearest lists; candidates by code distance are reranked by exact cosine.  A
     list longer than ``block`` is dealt out as pairs of blocks of members and queries over
     several tasks.  Blocks return counts and spanning forests, never their pairs.
 
     Vectors that are null, zero, hold null or non-finite components, or have another length
-    than most, link with nothing.  Null ids keep their rows and count as links, but name no
+    than most, link with nothing; very small and very large ones link like any other.  Null ids keep their rows and count as links, but name no
     component.  Repeated rows are vectors of their own; an empty table gives an empty result.
     """
     spark = table.sparkSession
@@ -184,7 +196,8 @@ def embedding_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     if not rows:
         return ids.select("id", F.lit(0).cast("bigint").alias("n_links"),
                           F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    sample = nodes.orderBy("h1", "h2").limit(sample_rows).select("x").collect()
+    sample = nodes.orderBy("h1", "h2").limit(max(sample_rows, 8 * math.isqrt(rows))).select(
+        "x").collect()
     index = train(np.array([r.x for r in sample]), rows, cosine)
 
     def place(batches):

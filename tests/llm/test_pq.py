@@ -68,3 +68,27 @@ def test_codes_rank_true_neighbours():
             coded = index.coarse[number] + np.concatenate(
                 [index.books[j][codes[:, j]] for j in range(len(index.books))], 1)
             assert np.allclose(got, pq.squared(x[:50], coded))
+
+
+def test_tiny_and_huge_vectors_link_like_any_other(spark):
+    rows, _ = sample(spark)
+    dim = 16
+    rows += [(7000, [1e-200] * dim, 0), (7001, [3e-310] * dim, 0), (7002, [1e300] * dim, 0),
+             (7003, [v * 1e-250 for v in rows[0][1]], 0), (7004, [v * 1e300 for v in rows[1][1]], 0)]
+    df = spark.createDataFrame([r[:2] for r in rows], "vec_id bigint, embedding array<double>")
+    found = {r.id: (r.n_links, r.component_id) for r in pq.embedding_groups(df).collect()}
+    assert found[7000] == found[7001] == found[7002] == (2, 7000)
+    links = {0: found[0], 1: found[1]}
+    assert found[7003] == links[0] and found[7004] == links[1] and links[0][0] > 100
+
+
+def test_scaling_changes_no_bit():
+    draw = np.random.default_rng(4)
+    x, y = draw.standard_normal((2, 500, 24)) * 10.0 ** draw.integers(-9, 9, (2, 500, 1))
+    assert np.array_equal(pq.cosines(x, y), (x * y).sum(1) / (
+        np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))))
+
+
+def test_lists_grow_with_the_table():
+    x = np.random.default_rng(3).standard_normal((3000, 8))
+    assert len(pq.train(x, 400_000, 0.9).coarse) > len(pq.train(x, 200_000, 0.9).coarse) == 1000
