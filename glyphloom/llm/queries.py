@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphloom.llm import brown, decontam, mincut, packing, passages, pq, quality, secrets, simhash, suffix
+from glyphloom.llm import (brown, decontam, mincut, packing, passages, phrases, pq, quality, secrets,
+                           simhash, suffix)
 from glyphloom.llm.common import remainder, table
 from glyphloom.llm.sql import SQL  # noqa: F401
 
@@ -73,6 +74,10 @@ def op10_minimum_cut(spark, sf_dir):
         "page_id", "url", "text", "n_chars")
 
 
+def op11_prefix_subtrees(spark, sf_dir):
+    return phrases.top_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_cgk_decontamination,
     op2_compact_windows,
@@ -84,4 +89,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op8_secret_ownership,
     op9_bucket_pointer_dedup,
     op10_minimum_cut,
+    op11_prefix_subtrees,
 )}

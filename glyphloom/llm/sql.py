@@ -46,4 +46,37 @@ SELECT doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access,
 FROM d LEFT JOIN spans USING (rn)
 """
 
-SQL: dict[str, str] = {"op8_secret_ownership": OP8}
+_A = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_GRAMS = " UNION ALL ".join(
+    f"SELECT lang, {m} m, unnest(list_transform(range(1, len(w) - {m - 2}), "
+    f"lambda i: array_to_string(w[i:i + {m - 1}], ' '))) phrase FROM pieces" for m in (1, 2, 3))
+
+OP11 = f"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') lang, unnest(string_split_regex(
+    translate(text, '{_A}', '{_A.lower()}'), '[.,;:!?\\x0A-\\x0D]')) p FROM documents),
+pieces AS (
+  SELECT lang, list_filter(string_split_regex(p, '[ \\t]+'), lambda x: x <> '') w FROM cut),
+counted AS (SELECT lang, m, phrase, count(*) f FROM ({_GRAMS}) GROUP BY ALL),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) n FROM counted WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, phrase, f a, string_split(phrase, ' ') w FROM counted WHERE m > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, m, phrase, a, w, k, array_to_string(w[:k], ' ') front, array_to_string(w[k + 1:], ' ') rest
+  FROM (SELECT *, unnest(range(1, m)) k FROM cand)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f l, y.f r,
+    CAST((1000000 * CAST(c.a AS HUGEINT) * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.front AND x.m = c.k
+  JOIN counted y ON y.lang = c.lang AND y.phrase = c.rest AND y.m = c.m - c.k),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') phrase, max(a) held
+  FROM (SELECT *, unnest([1, 2]) i FROM cand WHERE m = 3) GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_ USING (lang, phrase) WHERE held IS NULL OR 100 * held < 50 * a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op8_secret_ownership": OP8, "op11_prefix_subtrees": OP11}

@@ -16,6 +16,7 @@ COLUMNS = {
     "op8": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op10": "page_id url text n_chars",
+    "op11": "lang rank phrase a l r n score",
 }
 ALL_ROWS = {"op4": 200, "op5": 200, "op6": 200, "op7": 500, "op8": 200, "op9": 200, "op10": 50}
 
