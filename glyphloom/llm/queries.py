@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphloom.llm import (brown, decontam, mincut, packing, passages, phrases, pq, quality, secrets,
-                           simhash, suffix)
+from glyphloom.llm import (brown, decontam, mincut, packing, passages, periodic, phrases, pq, quality,
+                           secrets, simhash, suffix)
 from glyphloom.llm.common import remainder, table
 from glyphloom.llm.sql import SQL  # noqa: F401
 
@@ -78,6 +78,21 @@ def op11_prefix_subtrees(spark, sf_dir):
     return phrases.top_phrases(table(spark, sf_dir, "documents"))
 
 
+def op13_descending_lcp(spark, sf_dir):
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), rewrite=periodic.repeat_tail)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(
+        ",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    best = found.select("id", "runs", "collapsed", longest.alias("m"))
+    return best.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("m.back")).alias("start"), F.col("m.length").alias("length"),
+        (-F.col("m.less")).alias("period"),
+        F.call_function("div", F.col("m.length") * 1000, -F.col("m.less")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_cgk_decontamination,
     op2_compact_windows,
@@ -90,4 +105,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op9_bucket_pointer_dedup,
     op10_minimum_cut,
     op11_prefix_subtrees,
+    op13_descending_lcp,
 )}
