@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphloom.llm import (brown, decontam, mincut, packing, passages, periodic, phrases, pq, quality,
-                           secrets, simhash, suffix)
+from glyphloom.llm import (brown, decontam, langid, mincut, packing, passages, periodic, phrases,
+                           pq, quality, secrets, simhash, suffix)
 from glyphloom.llm.common import remainder, table
 from glyphloom.llm.sql import SQL  # noqa: F401
 
@@ -78,6 +78,13 @@ def op11_prefix_subtrees(spark, sf_dir):
     return phrases.top_phrases(table(spark, sf_dir, "documents"))
 
 
+def op12_partial_matching(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).select(
+        F.col("id").alias("doc_id"), (remainder(F.col("id")) == 0).alias("held_out"),
+        "lang_pred", "score")
+
+
 def op13_descending_lcp(spark, sf_dir):
     found = periodic.find_runs(table(spark, sf_dir, "documents"), rewrite=periodic.repeat_tail)
     longest = F.array_max(F.transform("runs", lambda r: F.struct(
@@ -105,5 +112,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op9_bucket_pointer_dedup,
     op10_minimum_cut,
     op11_prefix_subtrees,
+    op12_partial_matching,
     op13_descending_lcp,
 )}

@@ -16,10 +16,11 @@ COLUMNS = {
     "op8": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op10": "page_id url text n_chars",
+    "op12": "doc_id held_out lang_pred score",
     "op13": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
     "op11": "lang rank phrase a l r n score",
 }
-ALL_ROWS = {"op4": 200, "op5": 200, "op6": 200, "op7": 500, "op8": 200, "op9": 200, "op10": 50, "op13": 200}
+ALL_ROWS = {"op4": 200, "op5": 200, "op6": 200, "op7": 500, "op8": 200, "op9": 200, "op10": 50, "op12": 200, "op13": 200}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
