@@ -4,6 +4,9 @@ An *encoded* corpus is ``(split, doc_id, ids)``, one array per document without
 tokens.  The stream of a split is ``prefix``, all documents in id order with ``joint``
 ids between them, ``suffix``.  It is never built as one array: a *layout*, one narrow row
 per document, says where each document starts.
+
+An id may be null or repeated: null comes first, documents of one id are ordered by a hash
+of their ids, and equal ones by the number that every stored row has.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from glyphloom.functions.text import BOS, EOS, int_array, neighbours
 from glyphloom.session import checkpointed, parallelism, small, written
 
 
+# The order of the documents of a split; ``row`` alone tells them apart.
+ORDER = ["doc_id", "mark", "row"]
+
+
 @dataclass(frozen=True)
 class Joining:
     """Ids at the start of a stream, between two documents, and at the end."""
@@ -30,11 +37,13 @@ def store_encoded(encoded: DataFrame) -> DataFrame:
     """Write an encoded corpus once, by split, with the narrow columns the layout needs.
 
     ``n``, ``head`` and ``tail`` (length, first and last id) sit beside ``ids`` so that
-    the layout never reads the arrays.  Files are sorted by id, so a bound on the id
-    prunes their row groups.
+    the layout never reads the arrays.  ``mark`` is a hash of the ids, ``row`` the row's own
+    number, a stored fact from here on.  Files are sorted by id, so a bound on the id prunes
+    their row groups.
     """
     wide = encoded.select(
-        "split", "doc_id", F.size("ids").alias("n"),
+        "split", "doc_id", F.xxhash64("ids").alias("mark"),
+        F.monotonically_increasing_id().alias("row"), F.size("ids").alias("n"),
         F.get("ids", F.lit(0)).alias("head"),
         F.get("ids", F.size("ids") - 1).alias("tail"), "ids")
     return written(wide.sortWithinPartitions("split", "doc_id"), "encoded", ("split",))
@@ -42,16 +51,17 @@ def store_encoded(encoded: DataFrame) -> DataFrame:
 
 def _edges(stored: DataFrame) -> DataFrame:
     """First and last document of each split: one row per split."""
-    return stored.groupBy("split").agg(F.min("doc_id").alias("first_doc"),
-                                       F.max("doc_id").alias("last_doc"))
+    place = F.struct(F.col("doc_id").isNotNull(), *ORDER)
+    return stored.groupBy("split").agg(F.min_by("row", place).alias("first_row"),
+                                       F.max_by("row", place).alias("last_row"))
 
 
 def _placed(stored: DataFrame) -> DataFrame:
     """``stored`` with ``is_first`` / ``is_last``; the edges are one row per split."""
     return (stored.join(F.broadcast(_edges(stored)), "split")
-            .withColumn("is_first", F.col("doc_id") == F.col("first_doc"))
-            .withColumn("is_last", F.col("doc_id") == F.col("last_doc"))
-            .drop("first_doc", "last_doc"))
+            .withColumn("is_first", F.col("row") == F.col("first_row"))
+            .withColumn("is_last", F.col("row") == F.col("last_row"))
+            .drop("first_row", "last_row"))
 
 
 def _segment(joining: Joining) -> Column:
@@ -69,7 +79,7 @@ def _end_id(ids: tuple[int, ...], at: int) -> Column:
 def layout(stored: DataFrame, joining: Joining) -> DataFrame:
     """Where each document's segment sits in its stream, one row per document.
 
-    ``(split, doc_id, is_first, is_last, size, seg_head, prev_tail, start, length)``:
+    ``(split, *ORDER, is_first, is_last, size, seg_head, prev_tail, start, length)``:
     ``start`` is the position of the segment's first id, ``prev_tail`` the id before it.
 
     A prefix sum over the whole corpus without a single-task window: rows are range
@@ -77,7 +87,7 @@ def layout(stored: DataFrame, joining: Joining) -> DataFrame:
     run inside each part, and one row per part carries them across parts.
     """
     spark = stored.sparkSession
-    narrow = _placed(stored.select("split", "doc_id", "n", "head", "tail"))
+    narrow = _placed(stored.select("split", *ORDER, "n", "head", "tail"))
     front = F.when(F.col("is_first"), F.lit(len(joining.prefix))).otherwise(0)
     back = F.when(F.col("is_last"), F.lit(len(joining.suffix))).otherwise(len(joining.joint))
     back_head = F.when(F.col("is_last"), _end_id(joining.suffix, 0)).otherwise(
@@ -87,19 +97,19 @@ def layout(stored: DataFrame, joining: Joining) -> DataFrame:
     front_head = F.when(F.col("is_first"), _end_id(joining.prefix, 0))
     front_tail = F.when(F.col("is_first"), _end_id(joining.prefix, -1))
     sized = narrow.select(
-        "split", "doc_id", "is_first", "is_last",
+        "split", *ORDER, "is_first", "is_last",
         (F.col("n") + front + back).cast("bigint").alias("size"),
         F.coalesce(front_head, F.col("head"), back_head).alias("seg_head"),
         F.coalesce(back_tail, F.col("tail"), front_tail).alias("seg_tail"))
     parted = checkpointed(
-        sized.repartitionByRange(parallelism(spark), "split", "doc_id")
+        sized.repartitionByRange(parallelism(spark), "split", *ORDER)
         .withColumn("part", F.spark_partition_id()))
 
     before = Window.partitionBy("split").orderBy("part")
     carried = (parted.groupBy("split", "part")
                .agg(F.sum("size").alias("part_size"),
-                    F.max_by("seg_tail", F.when(F.col("size") > 0, F.col("doc_id")))
-                    .alias("part_tail"))
+                    F.max_by("seg_tail", F.when(F.col("size") > 0, F.struct(
+                        F.col("doc_id").isNotNull(), *ORDER))).alias("part_tail"))
                .select("split", "part",
                        F.coalesce(F.sum("part_size").over(
                            before.rowsBetween(Window.unboundedPreceding, -1)),
@@ -108,12 +118,12 @@ def layout(stored: DataFrame, joining: Joining) -> DataFrame:
                            before.rowsBetween(Window.unboundedPreceding, -1)
                        ).alias("base_tail"),
                        F.sum("part_size").over(Window.partitionBy("split")).alias("length")))
-    inside = (Window.partitionBy("split", "part").orderBy("doc_id")
+    inside = (Window.partitionBy("split", "part").orderBy(*ORDER)
               .rowsBetween(Window.unboundedPreceding, -1))
     # One row per part and split: bounded by the number of tasks.
     placed = parted.join(F.broadcast(carried), ["split", "part"])
     return placed.select(
-        "split", "doc_id", "is_first", "is_last", "size", "seg_head",
+        "split", *ORDER, "is_first", "is_last", "size", "seg_head",
         F.coalesce(F.last("seg_tail", ignorenulls=True).over(inside),
                    F.col("base_tail")).alias("prev_tail"),
         (F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("start"),
@@ -122,9 +132,9 @@ def layout(stored: DataFrame, joining: Joining) -> DataFrame:
 
 def segments(stored: DataFrame, placed: DataFrame, joining: Joining) -> DataFrame:
     """``(split, doc_id, start, length, seg)``: each document's ids with their position."""
-    return (stored.select("split", "doc_id", "ids")
-            .join(placed.select("split", "doc_id", "is_first", "is_last", "start", "length"),
-                  ["split", "doc_id"])
+    return (stored.select("split", "doc_id", "row", "ids")
+            .join(placed.select("split", "row", "is_first", "is_last", "start", "length"),
+                  ["split", "row"])
             .select("split", "doc_id", "start", "length", _segment(joining).alias("seg")))
 
 
@@ -152,7 +162,7 @@ def pair_counts(stored: DataFrame, joining: Joining, placed: DataFrame | None =
     ``by`` names extra columns of ``stored``, for instance a training slice.
     """
     keep = ["split", *by]
-    segs = _placed(stored.select("split", "doc_id", "ids", *by)).select(
+    segs = _placed(stored.select("split", *ORDER, "ids", *by)).select(
         *keep, "is_first", _segment(joining).alias("seg"))
     if joining.joint:
         lead = F.when(~F.col("is_first"), int_array(joining.joint[-1])).otherwise(int_array())
@@ -163,7 +173,7 @@ def pair_counts(stored: DataFrame, joining: Joining, placed: DataFrame | None =
         placed = layout(stored, joining) if placed is None else placed
         links = placed.where(F.col("prev_tail").isNotNull() & F.col("seg_head").isNotNull())
         if by:
-            links = links.join(stored.select("split", "doc_id", *by), ["split", "doc_id"])
+            links = links.join(stored.select("split", "row", *by), ["split", "row"])
         pairs = pairs.unionByName(links.select(
             *keep, F.col("prev_tail").alias("prev"), F.col("seg_head").alias("cur")))
     return pairs.groupBy(*keep, "prev", "cur").agg(F.count(F.lit(1)).alias("n"))
@@ -190,9 +200,10 @@ def weighted_pairs(stored: DataFrame, joining: Joining, placed: DataFrame,
     # Their ids lie at both ends of each split; the bounds prune the scan of the arrays.
     at_head = edge_docs.where(F.col("start") <= context).agg(F.max("doc_id")).scalar()
     at_tail = edge_docs.where(F.col("start") > context).agg(F.min("doc_id")).scalar()
-    held = (stored.select("split", "doc_id", "ids")
-            .where((F.col("doc_id") <= at_head) | (F.col("doc_id") >= at_tail))
-            .join(F.broadcast(edge_docs), ["split", "doc_id"])
+    held = (stored.select("split", "doc_id", "row", "ids")
+            .where(F.col("doc_id").isNull() | (F.col("doc_id") <= at_head)
+                   | (F.col("doc_id") >= at_tail)).drop("doc_id")
+            .join(F.broadcast(edge_docs), ["split", "row"])
             .withColumn("lead", F.size(before))
             .withColumn("seg", F.concat(before, _segment(joining))))
     edge = (held.select("split", "start", "length", "lead",

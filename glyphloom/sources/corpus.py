@@ -43,8 +43,8 @@ def pick_split(docs: DataFrame, split: str) -> DataFrame:
 
 
 def hash_draw(seed: Column, doc_id: Column) -> Column:
-    """A number in 0..2**32 - 1 drawn from seed and id, the same on every run."""
-    digest = F.md5(F.concat(seed, F.lit(":"), doc_id.cast("string")))
+    """A number in 0..2**32 - 1 drawn from seed and id (null: none), the same on every run."""
+    digest = F.md5(F.concat(seed, F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 

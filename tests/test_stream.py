@@ -60,6 +60,33 @@ def test_one_document_is_first_and_last(make_encoded):
     assert [r.seg for r in segs.collect()] == [[2, 7, 3]]
 
 
+@pytest.mark.parametrize("j", JOININGS, ids=str)
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_and_missing_ids(spark, j, parts):
+    """A third of all documents has one id, a few have none; some rows are equal."""
+    rng = random.Random(parts)
+    lists = _lists(parts + 20, 90)
+    rows = [("train", rng.choice([None, 7, 7, n, n, n]), ids) for n, ids in enumerate(lists)]
+    rows += rows[:12]
+    df = spark.createDataFrame(rows, "split string, doc_id bigint, ids array<int>")
+    marks = {tuple(r.ids): r.m for r in df.select("ids", F.xxhash64("ids").alias("m")).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, marks[tuple(r[2])]))
+    want = _stream([r[2] for r in order], j)
+    stored, placed, segs = _laid_out(df.repartition(parts), j)
+    assert sorted((r.pos, r.id) for r in stream.stream_positions(segs).collect()) == list(
+        enumerate(want))
+    pairs = stream.pair_counts(stored, j, placed)
+    assert {(r.prev, r.cur): r.n for r in pairs.collect()} == Counter(zip(want, want[1:]))
+    found = stream.next_token_windows(segs, 16, 5, 32).collect()
+    assert sorted((r.start, r.x) for r in found) == [
+        (i, want[i:i + 16]) for i in range(0, len(want) - 16, 5)]
+    weighted = stream.weighted_pairs(stored, j, placed, pairs, 16, 4).collect()
+    loss = {(r.prev, r.cur): 1 + r.prev * 3 % 7 + r.cur for r in weighted}
+    losses = [0.0] + [loss[p] for p in zip(want, want[1:])]
+    assert math.isclose(sum(r.weight * loss[r.prev, r.cur] for r in weighted),
+                        _reference_mean(losses, len(want), 16, 4), rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("context,stride,block", [
     (4, 1, 7), (4, 2, 7), (16, 5, 16), (30, 1, 8), (8, 3, 4096)])
 def test_windows(make_encoded, context, stride, block):
