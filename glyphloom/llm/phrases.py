@@ -122,7 +122,7 @@ def _suffixes(source: DataFrame, bits: np.ndarray, hot: dict[str, set[bytes]], g
                 counts, live = total.setdefault(lang, Counter()), known.setdefault(lang, {})
                 before, named = len(counts), len(live)
                 for words, starts in word_runs(text, longest - 1):
-                    for w in set(words) - live.keys():
+                    for w in set(words).difference(live):
                         slot = _slot(lang.encode(), w)
                         live[w] = w + b" " if w != BREAK and int(bits[slot >> 6]) >> (slot & 63) & 1 \
                             else None
