@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -32,8 +32,12 @@ AROUND_WORDS = frozenset(
     "newsletter notice notification pagination pager popup promo promoted promotion recommended "
     "related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
     "tags toc toolbar widget alert".split())
+# Of these, words that also name topics: beside other words they are no more than a hint.
+HINTS = frozenset("alert banner header login notice notification promotion recommended related "
+                  "search share sharing social tags subscription".split())
 TALK_WORDS = frozenset("comment comments commentlist disqus replies reply respond responses".split())
 
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -53,6 +57,8 @@ class Element:
     around: bool      # inside a container of what surrounds the main text
     main: bool        # inside a container of the main text
     link: bool
+    hints: int        # containers inside the main text whose names hint at the opposite
+    block: "Element"  # the nearest block element, itself included
 
 
 @dataclass
@@ -64,8 +70,9 @@ class Block:
 
 
 def _open(tag: str, attributes: str, parent: Element | None) -> Element:
-    hidden, around, main, link = (parent.hidden, parent.around, parent.main, parent.link) \
-        if parent else (False, False, False, False)
+    hidden, around, main, link, hints = (
+        parent.hidden, parent.around, parent.main, parent.link, parent.hints) \
+        if parent else (False, False, False, False, 0)
     words: set[str] = set()
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -88,23 +95,37 @@ def _open(tag: str, attributes: str, parent: Element | None) -> Element:
         around |= not main
     elif tag not in ("body", "html"):
         if words & AROUND_WORDS:
-            around = True
+            if main and words & AROUND_WORDS <= HINTS and words - AROUND_WORDS:
+                hints += 1
+            else:
+                around = True
         elif words & MAIN_WORDS:
             main = True
-    return Element(tag, parent, parent.depth + 1 if parent else 0, hidden, around, main,
-                   link or tag == "a")
+    made = Element(tag, parent, parent.depth + 1 if parent else 0, hidden, around, main,
+                   link or tag == "a", hints, None)
+    made.block = made if tag in BLOCKS or not parent else parent.block
+    return made
 
 
 def parse_blocks(html: str) -> list[Block]:
     """Visible text blocks in page order.
 
     Block tags end a block; ``br`` is white space.  An end tag closes up to its start tag, if
-    that is open, and an item or paragraph closes one of its kind before it.
+    that is open, and an item or paragraph closes one of its kind before it.  Raw text, such
+    as a script, goes on to its end tag whatever it holds, or to the end of the page.
     """
-    root = here = Element("", None, 0, False, False, False, False)
+    root = here = _open("", "", None)
     blocks: list[Block] = []
     current: Block | None = None
-    at, raw = 0, None
+    at = 0
+    open_: Counter = Counter()  # tags of the elements that hold this place
+
+    def up_to(node: Element | None) -> None:
+        """Close all elements below ``node``."""
+        nonlocal here
+        while here is not node:
+            open_[here.tag] -= 1
+            here = here.parent
 
     def text(piece: str) -> None:
         nonlocal current
@@ -113,10 +134,7 @@ def parse_blocks(html: str) -> list[Block]:
         if current is None:
             if piece.isspace():
                 return
-            owner = here
-            while owner.parent and owner.tag not in BLOCKS:
-                owner = owner.parent
-            current = Block(owner)
+            current = Block(here.block)
             blocks.append(current)
         current.parts.append(piece)
         length = len(piece.strip())
@@ -124,15 +142,8 @@ def parse_blocks(html: str) -> list[Block]:
         if here.link:
             current.linked += length
 
-    for found in _MARKUP.finditer(html):
+    while found := _MARKUP.search(html, at):
         closing, tag, attributes = found[1], found[2], found[3]
-        if raw:
-            if not (tag and closing and tag.lower() == raw):
-                continue
-            raw = None
-            at = found.end()
-            here = here.parent or root
-            continue
         text(html[at:found.start()])
         at = found.end()
         if not tag:
@@ -146,31 +157,30 @@ def parse_blocks(html: str) -> list[Block]:
         if tag in BLOCKS:
             current = None
         if closing:
-            node = here
-            while node.parent and node.tag != tag:
-                node = node.parent
-            if node.parent:
-                here = node.parent
+            if open_[tag]:
+                while here.tag != tag:
+                    up_to(here.parent)
+                up_to(here.parent)
+            continue
+        if tag in RAW:
+            end = _RAW_END[tag].search(html, at)
+            at = end.end() if end else len(html)
             continue
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if tag in BLOCKS:
             stops = _LEAVES.get(tag)
-            node = here
-            while node.parent and node.tag not in BLOCKS:
-                node = node.parent
+            node = here.block
             if node.tag == "p":
-                here = node.parent  # a block start ends an open paragraph
-            elif stops:
+                up_to(node.parent)  # a block start ends an open paragraph
+            elif stops and open_[tag]:
                 while node.parent and node.tag != tag and node.tag not in stops:
-                    node = node.parent
+                    node = node.parent.block
                 if node.tag == tag:
-                    here = node.parent
+                    up_to(node.parent)
         here = _open(tag, attributes, here)
-        if tag in RAW:
-            raw = tag
-    if not raw:
-        text(html[at:])
+        open_[tag] += 1
+    text(html[at:])
     return blocks
 
 
@@ -180,21 +190,24 @@ def preference(block: Block, has_main: bool) -> float:
     if element.around:
         return -12.0
     linked = block.linked / max(block.size, 1)
-    if element.main:
+    if element.main and not element.hints:
         return 8.0 - 3.0 * (linked > 0.8)
     text = "".join(block.parts)
     odds = min(block.size, 400) / 100 - 5 * linked
     odds += 0.5 * any(c in text for c in ".!?。")
     odds += 1.0 * (element.tag in PROSE)
     odds -= 1.0 * (element.tag in ("li", "td", "th"))
+    if element.main:
+        return odds + 2.0 - 1.5 * element.hints
     return odds - (4.0 if has_main else 1.0)
 
 
 def closeness(a: Block, b: Block) -> float:
-    """Smoothness of two blocks in turn: less the further their common container is."""
+    """Smoothness of two blocks in turn: less the further their common container is, up to
+    forty steps."""
     x, y = a.element, b.element
     steps = 0
-    while x is not y:
+    while x is not y and steps < 40:
         if x.depth >= y.depth and x.parent:
             x = x.parent
         else:

@@ -1,6 +1,10 @@
 import random
+import re
+from html import unescape
 from itertools import product
 
+import pyarrow.parquet as pq
+
 from glyphloom.llm import mincut
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head>
@@ -31,6 +35,58 @@ def test_broken_pages():
         assert isinstance(mincut.main_text(page), str)
 
 
+def test_raw_text_goes_on_to_its_end_tag():
+    text = "Main text that is long enough to stand for itself."
+    for script in ("for(i=0;i<n;i++){f()}", "if(a<b&&c>d){'</scripty>'}", "x='<p>no</p>';y=a<!--b",
+                   "<script>", "'</div>'"):
+        page = f"<script>{script}</script ><article><p>{text}</p></article>"
+        assert mincut.main_text(page) == text
+        assert mincut.main_text(f"<article><p>{text}</p><SCRIPT>{script}</Script></article>") == text
+        assert mincut.main_text(f"<article><p>{text}</p><style>{script}") == text
+    assert mincut.main_text(f"<textarea><article>x</textarea><article>{text}</article>") == text
+
+
+def test_names_of_topics_inside_the_article():
+    text = "The share price rose by a tenth on Monday, as analysts had expected."
+    for name in ("share-price", "search-results-study", "alert-level", "relatedWork"):
+        page = f'<article><p>{text}</p><div id="{name}"><p>{text}</p></div><p>{text}</p></article>'
+        assert mincut.main_text(page) == "\n".join([text] * 3), name
+    for name in ("share", "ad slot", "social-share", "newsletter-box", "related"):
+        page = (f'<article><p>{text}</p><div class="{name}"><a href="#">Share</a></div>'
+                f"<p>{text}</p></article>")
+        assert mincut.main_text(page) == f"{text}\n{text}", name
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    def seconds(page):
+        start = time.process_time()
+        mincut.main_text(page)
+        return time.process_time() - start
+
+    for unit in ("<b>x", "<div>x", "<span><p>x</i>", "<ul><li>x", "<div><li>x</em>"):
+        small, large = seconds(unit * 2000), seconds(unit * 16000)
+        assert large < 20 * max(small, 0.02), unit
+
+
+def plain_article(html):
+    """The article of a page of the tables, by patterns alone."""
+    inner = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    inner = re.sub(r"<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->", "", inner, flags=re.S)
+    inner = re.sub(r"<br>", " ", inner)
+    inner = re.sub(r"</?(?:b|i|em|strong|a|span)\b[^>]*>", "", inner)
+    lines = (" ".join(unescape(x).split()) for x in re.split(r"<[^>]+>", inner))
+    return "\n".join(line for line in lines if line)
+
+
+def test_whole_pages_equal_the_plain_article():
+    rows = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"])["html"].to_pylist()
+    assert len(rows) == 2500
+    for html in rows:
+        assert mincut.main_text(html) == plain_article(html)
+
+
 def test_cut_has_least_cost():
     draw = random.Random(2)
     for _ in range(300):
