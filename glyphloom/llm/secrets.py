@@ -16,6 +16,7 @@ BASE = {
 # A run this long with both cases and a digit looks like a key, whatever stands before it.
 RUN = "[A-Za-z0-9+/_-]{20,}"
 ADDED = "live"
+REPOS = 10  # a value in more repositories is an example, whoever owns them
 KINDS = [*BASE, ADDED]
 _HIT = "array<struct<kind_no:int,start:int,finish:int,value:string>>"
 
@@ -72,14 +73,14 @@ def ownership(hits: DataFrame) -> DataFrame:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  repo_col: str = "doc_id", owner_col: str = "source", owners: int = 1,
-                 carry: tuple[str, ...] = ()) -> DataFrame:
+                 repos: int = REPOS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``id``, the columns of ``carry`` under names that begin with
     ``kept_``, and ``spans``, all spans as an array of ``(start, kind_no, finish, live)``
     ordered by start, then kind.
 
     Every candidate value is counted over the corpus by distinct repositories and distinct
-    owners.  ``live`` marks values that at most ``owners`` owners hold; values that more
-    hold are widely copied examples.  Base kinds are always reported; a key-like run is
+    owners.  ``live`` marks values that at most ``owners`` owners hold in at most ``repos``
+    repositories; others are widely copied examples, be it across owners or within one.  Base kinds are always reported; a key-like run is
     reported only if it is live.  Null text is empty and has no spans; a null owner or
     repository counts as one of its own; repeated rows are scanned each by itself; an empty
     table gives an empty result.  Column names other than those given are not read.
@@ -96,7 +97,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.sha2("hit.value", 256).alias("digest"))
     hits = checkpointed(hits)
     judged = hits.join(ownership(hits), "digest").withColumn(
-        "live", F.col("n_owners") <= owners)
+        "live", (F.col("n_owners") <= owners) & (F.col("n_repos") <= repos))
     spans = judged.where((F.col("kind_no") < len(BASE)) | F.col("live")).groupBy("row_no").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind_no", "finish", "live"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,kind_no:int,finish:int,live:boolean>>")

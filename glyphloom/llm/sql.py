@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphloom.llm.secrets import BASE, KINDS, RUN
+from glyphloom.llm.secrets import BASE, KINDS, REPOS, RUN
 
 
 def _quoted(text: str) -> str:
@@ -33,8 +33,9 @@ hits AS (
   SELECT rn, doc_id, source, k, CAST(s AS BIGINT) s, CAST(s + length(whole) AS BIGINT) e, val
   FROM placed WHERE whole IS NOT NULL AND CASE k {_LEAST} ELSE regexp_matches(val, '[A-Z]')
     AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[0-9]') END),
-owned AS (SELECT val, count(DISTINCT coalesce(source, chr(1))) owners FROM hits GROUP BY val),
-kept AS (SELECT hits.* FROM hits JOIN owned USING (val) WHERE k < {len(BASE)} OR owners <= 1),
+owned AS (SELECT val, count(DISTINCT coalesce(source, chr(1))) owners,
+    count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), chr(1))) repos FROM hits GROUP BY val),
+kept AS (SELECT hits.* FROM hits JOIN owned USING (val) WHERE k < {len(BASE)} OR owners <= 1 AND repos <= {REPOS}),
 spans AS (
   SELECT rn, count(*) FILTER (k = 0) n_assign, count(*) FILTER (k = 1) n_access,
     count(*) FILTER (k = 2) n_hex,
