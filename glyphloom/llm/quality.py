@@ -116,8 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The sample is bounded: of each class the ``per_class`` labelled ids of smallest hash,
     and of a text longer than ``chars`` characters one window at a hashed place.  Half of
     the sample builds the dictionaries, the other half calibrates the score.  Only the
-    label and the text are read.  Null labels, ids or texts are not learned from; a class
-    without rows leaves its dictionary empty and the score at the smoothed class rate.
+    label and the text are read.  Null labels, ids or texts are not learned from; of several
+    texts under one id the one of smallest hash is; an id labelled both ways counts in both
+    classes.  A class without rows, an empty table among them, leaves its dictionary empty
+    and the score at the smoothed class rate.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(
         F.col("label").isin(0, 1) & F.col("id").isNotNull() & (remainder(F.col("id")) != 0))
@@ -128,9 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             draw, "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # One row for an id, so that the sample stays bounded where an id repeats.
     rows = texts.where("text IS NOT NULL").join(F.broadcast(chosen), "id").select(
-        "id", "label", _window(chars).alias("text")).collect()
-    rows = sorted(rows, key=lambda r: (r.id, r.text))[:2 * per_class]
+        "id", "label", _window(chars).alias("text")).groupBy("id", "label").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
+    rows = sorted(rows, key=lambda r: (r.id, r.label))
     halves: dict[int, list[list[bytes]]] = {0: [[], []], 1: [[], []]}
     for row in rows:
         side = halves[int(row.label)]

@@ -58,3 +58,14 @@ def test_remainder_is_crc32(spark):
 
     rows = spark.range(300).select("id", remainder(F.col("id")).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
+
+
+def test_a_repeated_id_teaches_one_text(frame, spark):
+    rows, labels = sample()
+    kind = "doc_id bigint, quality int, toxic int"
+    marks = spark.createDataFrame(labels, kind)
+    again = [(rows[0][0], rows[0][1] + f" copy {n}") for n in range(300)]
+    model = quality.train(frame(rows + again), marks)
+    hashed = frame([rows[0], *again], clash=False).selectExpr("text", "xxhash64(text) h")
+    least = hashed.orderBy("h").first().text
+    assert model == quality.train(frame([(rows[0][0], least), *rows[1:]]), marks)
