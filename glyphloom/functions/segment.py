@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
 
 
 def merge_unit(unit: str, ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -120,58 +119,6 @@ def best_path(unit: str, known: dict[str, float | None], unknown: float,
     return spans[::-1], total[n]
 
 
-def expected_uses(unit: str, weight: float, known: dict[str, float | None],
-                  into: defaultdict) -> None:
-    """Add each piece's expected uses in ``unit``: forward and backward sums over all
-    segmentations.  Every character is a piece.
-
-    Plain probabilities serve short units; where they would underflow, logarithms do.
-    """
-    n = len(unit)
-    spans = []
-    ahead = [1.0] + [0.0] * n
-    for start in range(n):
-        here = ahead[start]
-        for end in range(start + 1, n + 1):
-            piece = unit[start:end]
-            score = known.get(piece, _END)
-            if score is _END:
-                break
-            if score is not None:
-                prob = math.exp(score)
-                spans.append((start, end, prob, score, piece))
-                ahead[end] += here * prob
-    if ahead[n] < _TINY:
-        _expected_uses_log(n, weight, spans, into)
-        return
-    behind = [0.0] * n + [weight / ahead[n]]
-    for start, end, prob, _, piece in reversed(spans):
-        share = behind[end] * prob
-        behind[start] += share
-        into[piece] += ahead[start] * share
-
-
-# Products of probabilities below this may have lost precision.
-_TINY = 1e-280
-
-
-def _expected_uses_log(n: int, weight: float, spans: list, into: defaultdict) -> None:
-    ahead = [0.0] + [-math.inf] * n
-    behind = [-math.inf] * n + [0.0]
-    for start, end, _, score, _ in spans:
-        ahead[end] = _log_add(ahead[end], ahead[start] + score)
-    for start, end, _, score, _ in reversed(spans):
-        behind[start] = _log_add(behind[start], behind[end] + score)
-    for start, end, _, score, piece in spans:
-        into[piece] += weight * math.exp(ahead[start] + score + behind[end] - ahead[n])
-
-
-def _log_add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
-
-
 def digamma(x: float) -> float:
     """Derivative of ln(gamma), for x > 0: recurrence up to 10, then the asymptotic series."""
     shift = 0.0
@@ -180,3 +127,15 @@ def digamma(x: float) -> float:
         x += 1
     inv = 1 / (x * x)
     return shift + math.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
+
+
+def digammas(x):
+    """``digamma`` of each element of an array."""
+    import numpy as np
+
+    x, shift = x.astype(float), np.zeros(len(x))
+    while (low := x < 10).any():
+        shift[low] -= 1 / x[low]
+        x[low] += 1
+    inv = 1 / (x * x)
+    return shift + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))

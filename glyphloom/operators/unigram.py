@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, fields
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from glyphloom.functions.segment import (best_path, digamma, expected_uses,
-                                         with_prefixes)
+from glyphloom.functions.lattice import Automaton
+from glyphloom.functions.segment import best_path, digamma, digammas, with_prefixes
 from glyphloom.functions.text import PRETOKEN_SPECIALS, SPECIALS, UNK, pretokens
 from glyphloom.operators.stream import Joining
 from glyphloom.operators.narrow import encode_in_place
@@ -24,6 +25,7 @@ SHRINK = 0.75
 SUB_ROUNDS = 2
 LEAST_EXPECTED = 0.5
 UNKNOWN_PENALTY = 10.0
+UNITS = 20_000  # units whose lattices a task holds at once
 
 
 @dataclass(frozen=True)
@@ -73,113 +75,171 @@ def substring_seed(units: DataFrame, seed_size: int,
                    longest: int = LONGEST_PIECE) -> DataFrame:
     """``(piece, n, score)``: the best substrings of 2..``longest`` characters.
 
-    Substrings seen at least twice, by frequency times length.  Each start of a unit
-    yields its next characters once, so long units stay linear.
+    Substrings seen at least twice, by frequency times length.  Each place of a unit sends
+    its next characters once, added up in the task, to the part of its first three; there
+    they arrive sorted, so the counts of all their beginnings are the totals of the branches
+    that close.  Only repeated substrings come out, each once.
     """
-    chars = F.split("unit", "")
-    starts = F.transform(F.sequence(F.lit(1), F.size("chars") - 1),
-                         lambda i: F.array_join(F.slice("chars", i, F.lit(longest)), ""))
-    ahead = (units.select("n", chars.alias("chars")).where(F.size("chars") > 1)
-             .select("n", F.explode(starts).alias("ahead")))
-    cut = ahead.select("n", "ahead", F.explode(
-        F.sequence(F.lit(2), F.length("ahead"))).alias("k"))
-    found = (cut.groupBy(F.left("ahead", F.col("k")).alias("piece"))
-             .agg(F.sum("n").alias("n")).where("n >= 2"))
-    return found.withColumn("score", F.col("n") * F.length("piece")).orderBy(
+    def suffixes(batches):
+        for batch in batches:
+            counts: Counter = Counter()
+            for unit, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for at in range(len(unit) - 1):
+                    counts[unit[at:at + longest]] += n
+            yield pa.record_batch([pa.array(list(counts), pa.string()),
+                                   pa.array(list(counts.values()), pa.int64())], ["ahead", "n"])
+
+    def branches(batches):
+        path, totals, out = "", [], []  # totals[i]: occurrences below path[:i + 1]
+
+        def close(depth):
+            while len(totals) > depth:
+                n = totals.pop()
+                size = len(totals) + 1
+                # Two characters may be shared with another part: added up at the end.
+                if size == 2 or size > 2 and n >= 2:
+                    out.append((path[:size], n))
+                if totals:
+                    totals[-1] += n
+
+        def rows():
+            found = pa.record_batch([pa.array([o[0] for o in out], pa.string()),
+                                     pa.array([o[1] for o in out], pa.int64())], ["piece", "n"])
+            out.clear()
+            return found
+
+        for batch in batches:
+            for ahead, n in zip(*(c.to_pylist() for c in batch.columns)):
+                shared = 0
+                for x, y in zip(path, ahead):
+                    if x != y:
+                        break
+                    shared += 1
+                close(shared)
+                path = ahead
+                totals += [0] * (len(ahead) - len(totals))
+                totals[-1] += n
+            if out:
+                yield rows()
+        close(0)
+        yield rows()
+
+    ahead = units.where(F.char_length("unit") > 1).select("unit", "n").mapInArrow(
+        suffixes, "ahead string, n bigint")
+    dealt = ahead.repartition(F.left("ahead", F.lit(3))).sortWithinPartitions("ahead")
+    found = dealt.mapInArrow(branches, "piece string, n bigint")
+    short = F.char_length("piece") == 2
+    pieces = found.where(~short).unionAll(
+        found.where(short).groupBy("piece").agg(F.sum("n").alias("n")).where("n >= 2"))
+    return pieces.withColumn("score", F.col("n") * F.length("piece")).orderBy(
         F.desc("score"), "piece").limit(seed_size)
 
 
-def _per_unit(units: DataFrame, scores: dict[str, float], collect) -> DataFrame:
-    """``(piece, uses)``: one accumulation per task, then a sum per piece.
+def _uses(units: DataFrame, automaton, scores: np.ndarray, kind: str) -> np.ndarray:
+    """Uses of each piece over all units, by number: one sum per task, then one per piece.
 
-    ``collect(unit, n, known, into)`` adds a unit's uses.  The accumulator is bounded by
-    the number of pieces.
+    ``kind`` is ``expected``, over all segmentations, or ``used``, on the best ones.  Tasks
+    share the automaton and the scores, which the number of pieces bounds.
     """
-    shared = units.sparkSession.sparkContext.broadcast(with_prefixes(scores))
+    # Plain arrays: executors need not know the class to read them.
+    parts = tuple(getattr(automaton, f.name) for f in fields(automaton))
+    shared, costs = (units.sparkSession.sparkContext.broadcast(x) for x in (parts, scores))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        known, into = shared.value, defaultdict(float)
+    def run(batches):
+        automaton, total = Automaton(*shared.value), np.zeros(len(costs.value))
         for batch in batches:
-            for unit, n in zip(batch["unit"], batch["n"]):
-                collect(unit, float(n), known, into)
-        yield pd.DataFrame({"piece": list(into), "uses": list(into.values())})
-
-    return units.mapInPandas(run, "piece string, uses double").groupBy("piece").agg(
-        F.sum("uses").alias("uses"))
-
-
-def _best_uses(unit: str, n: float, known: dict[str, float | None],
-               into: defaultdict) -> None:
-    for a, b in best_path(unit, known, -math.inf)[0]:
-        into[unit[a:b]] += n
-
-
-def _reestimate(units: DataFrame, scores: dict[str, float],
-                letters: set[str]) -> dict[str, float]:
-    """One expectation-maximization step; rare pieces go, characters stay."""
-    rows = _per_unit(units, scores, expected_uses).collect()
-    kept = {r.piece: max(r.uses, LEAST_EXPECTED) for r in rows
-            if r.uses >= LEAST_EXPECTED or r.piece in letters}
-    norm = digamma(math.fsum(kept.values()))
+            texts, weights = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float)
+            for at in range(0, len(texts), UNITS):
+                lattice = automaton.lattice(texts[at:at + UNITS])
+                getattr(lattice, kind)(costs.value, weights[at:at + UNITS], total)
+        found = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(found), pa.array(total[found])], ["number", "uses"])
+
+    rows = units.select("unit", "n").mapInArrow(run, "number bigint, uses double").groupBy(
+        "number").agg(F.sum("uses").alias("uses")).toArrow()
+    out = np.zeros(len(scores))
+    out[rows["number"].to_numpy()] = rows["uses"].to_numpy()
+    shared.unpersist()
+    costs.unpersist()
+    return out
+
+
+def _reestimate(units: DataFrame, automaton, scores: np.ndarray,
+                letters: np.ndarray) -> np.ndarray:
+    """One expectation-maximization step; rare pieces go (score -inf), characters stay."""
+    uses = _uses(units, automaton, scores, "expected")
+    kept = (uses >= LEAST_EXPECTED) | letters & (uses > 0)
+    counts = np.maximum(uses, LEAST_EXPECTED)
+    norm = digamma(math.fsum(counts[kept].tolist()))
     # Rounded so that the order of partial sums cannot show.
-    return {p: round(digamma(c) - norm, 9) for p, c in sorted(kept.items())}
+    return np.where(kept, np.round(digammas(counts) - norm, 9), -np.inf)
 
 
-def _prune(units: DataFrame, scores: dict[str, float], letters: set[str],
-           size: int) -> dict[str, float]:
-    """The ``size`` pieces whose removal would cost most; characters always stay.
+def _prune(units: DataFrame, automaton, scores: np.ndarray, pieces: list[str],
+           letters: np.ndarray, size: int) -> np.ndarray:
+    """Scores of the ``size`` pieces whose removal would cost most; characters always stay.
 
     Without a piece, its uses on best paths fall to its own best split into others.
     """
-    shared = units.sparkSession.sparkContext.broadcast(with_prefixes(scores))
-
-    def losses(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        known = shared.value
-        for batch in batches:
-            gap = [known[p] - best_path(p, known, -math.inf, without=p)[1]
-                   for p in batch["piece"]]
-            yield pd.DataFrame({"piece": batch["piece"], "loss": batch["uses"] * gap})
-
-    used = _per_unit(units, scores, _best_uses)
-    room = max(size - len(letters), 0)
-    best = (used.where(F.length("piece") > 1).mapInPandas(losses, "piece string, loss double")
-            .orderBy(F.desc(F.round("loss", 6)), "piece").limit(room).collect())
-    keep = letters | {r.piece for r in best}
-    return {p: s for p, s in scores.items() if p in keep}
+    uses = _uses(units, automaton, scores, "used")
+    loss = np.full(len(scores), -np.inf)
+    some = np.flatnonzero((uses > 0) & ~letters)
+    for at in range(0, len(some), UNITS):
+        part = some[at:at + UNITS]
+        lattice = automaton.lattice([pieces[i] for i in part])
+        lattice = lattice.without(lattice.whole())
+        split = lattice.best(scores)[0][lattice.first[1:] - 1]
+        loss[part] = uses[part] * (scores[part] - split)
+    room = max(size - int(letters.sum()), 0)
+    # Pieces are numbered in order, so the sort settles equal losses by piece.
+    best = some[np.argsort(-np.round(loss[some], 6), kind="stable")][:room]
+    keep = letters.copy()
+    keep[best] = True
+    return np.where(keep, scores, -np.inf)
 
 
 def unigram_train(units: DataFrame, vocab_size: int = 5000,
                   seed_size: int = 1_000_000, longest: int = LONGEST_PIECE) -> UnigramModel:
     """Learn pieces from ``(unit, n)``.
 
-    Seed with the ``seed_size`` best substrings of up to ``longest`` characters, then alternate re-estimation and pruning until the
-    target is near, and cut to it by score.  Units stay distributed; the driver holds
-    the pieces only, at most ``seed_size`` plus the characters.
+    Seed with the ``seed_size`` best substrings of up to ``longest`` characters, then
+    alternate re-estimation and pruning until the target is near, and cut to it by score.
+    Units stay distributed; the driver holds numbers by piece only, at most ``seed_size``
+    plus the characters, as arrays.
     """
     spark = units.sparkSession
     units = checkpointed(units.select("unit", "n").repartition(parallelism(spark), "unit"))
-    singles = (units.select("n", F.explode(F.split("unit", "")).alias("piece"))
-               .groupBy("piece").agg(F.sum("n").alias("score")).collect())
-    letters = {r.piece for r in singles}
-    raw = {r.piece: r.score for r in singles}
-    raw.update((r.piece, r.score) for r in substring_seed(units, seed_size, longest).collect())
-    log_sum = math.log(sum(raw.values()))
-    scores = {p: math.log(s) - log_sum for p, s in sorted(raw.items())}
-    target = max(vocab_size - len(SPECIALS), len(letters))
+    singles = units.select("n", F.explode(F.split("unit", "")).alias("piece")).groupBy(
+        "piece").agg(F.sum("n").alias("score")).toArrow()
+    seeds = substring_seed(units, seed_size, longest).select("piece", "score").toArrow()
+    pieces = singles["piece"].to_pylist() + seeds["piece"].to_pylist()
+    raw = np.concatenate([t["score"].to_numpy().astype(float) for t in (singles, seeds)])
+    order = sorted(range(len(pieces)), key=pieces.__getitem__)
+    letters = np.array(order, np.int64) < singles.num_rows
+    pieces, raw = [pieces[i] for i in order], raw[order]
+    scores = np.log(raw) - math.log(math.fsum(raw.tolist())) if len(raw) else raw
+    target = max(vocab_size - len(SPECIALS), int(letters.sum()))
     near = int(target * 1.1)
-    while True:
+    automaton, built = Automaton.of(pieces), len(pieces)
+    while len(pieces):
         for _ in range(SUB_ROUNDS):
-            scores = _reestimate(units, scores, letters)
-        if len(scores) <= near:
+            scores = _reestimate(units, automaton, scores, letters)
+        left = int(np.isfinite(scores).sum())
+        if left <= near:
             break
-        size = max(near, int(len(scores) * SHRINK))
-        scores = _prune(units, scores, letters, size)
-    order = sorted(scores.items(), key=lambda p: (-p[1], p[0]))
-    extra = [p for p in order if p[0] not in letters][:target - len(letters)]
-    final = sorted([p for p in order if p[0] in letters] + extra, key=lambda p: (-p[1], p[0]))
-    rows = [(t, 0.0) for t in SPECIALS] + final
-    pieces = spark.createDataFrame(
+        scores = _prune(units, automaton, scores, pieces, letters, max(near, int(left * SHRINK)))
+        live = np.isfinite(scores)
+        if live.sum() < 0.8 * built:  # the dead pieces only cost time
+            pieces = [p for p, on in zip(pieces, live.tolist()) if on]
+            scores, letters = scores[live], letters[live]
+            automaton, built = Automaton.of(pieces), len(pieces)
+    scored = [(p, float(s), one) for p, s, one in zip(pieces, scores, letters) if s > -math.inf]
+    scored.sort(key=lambda p: (-p[1], p[0]))
+    extra = [p for p in scored if not p[2]][:target - sum(one for *_, one in scored)]
+    final = sorted([p for p in scored if p[2]] + extra, key=lambda p: (-p[1], p[0]))
+    rows = [(t, 0.0) for t in SPECIALS] + [p[:2] for p in final]
+    pieces_table = spark.createDataFrame(
         pd.DataFrame({"id": range(len(rows)), "piece": [r[0] for r in rows],
                       "log_prob": [r[1] for r in rows]}),
         "id int, piece string, log_prob double")
-    return UnigramModel(pieces, len(rows))
+    return UnigramModel(pieces_table, len(rows))

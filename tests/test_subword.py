@@ -1,15 +1,17 @@
 """BPE and unigram against the tokenizers package, and against plain greedy merging."""
 
 import json
+import math
 import random
 from collections import Counter, defaultdict
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer, models as lib, pre_tokenizers, trainers
 
-from glyphloom.functions.segment import (best_path, digamma, expected_uses, merge_in_order,
-                                         with_prefixes)
+from glyphloom.functions import lattice
+from glyphloom.functions.segment import best_path, digamma, merge_in_order, with_prefixes
 from glyphloom.functions.text import SPECIALS
 from glyphloom.operators import bpe, subword, unigram
 from glyphloom.plans.tokenizers import bpe_tokenizer, unigram_tokenizer
@@ -271,25 +273,99 @@ def _all_splits(unit):
             yield [unit[:k], *rest]
 
 
-def test_expected_uses_against_all_splits():
-    import math
-    scores = {"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -3.2, "aba": -4.0}
-    weights = {tuple(s): math.exp(sum(scores[p] for p in s))
-               for s in _all_splits("ababa") if all(p in scores for p in s)}
-    want = defaultdict(float)
-    for split, w in weights.items():
+def _lattice(units, scores):
+    pieces = sorted(scores)
+    automaton = lattice.Automaton.of(pieces)
+    return pieces, np.array([scores[p] for p in pieces]), automaton.lattice(units)
+
+
+def _expected(units, weights, scores):
+    pieces, costs, found = _lattice(units, scores)
+    into = np.zeros(len(pieces))
+    found.expected(costs, np.array(weights, float), into)
+    return dict(zip(pieces, into.tolist()))
+
+
+def _plain_expected(unit, weight, scores):
+    logs = {tuple(s): sum(scores[p] for p in s)
+            for s in _all_splits(unit) if all(p in scores for p in s)}
+    best, want = max(logs.values()), Counter()
+    total = sum(math.exp(v - best) for v in logs.values())
+    for split, v in logs.items():
         for piece in split:
-            want[piece] += 3 * w / sum(weights.values())
-    got = defaultdict(float)
-    known = with_prefixes(scores)
-    expected_uses("ababa", 3.0, known, got)
-    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
-    long = defaultdict(float)
-    expected_uses("ab" * 200, 2.0, known, long)
-    assert math.isclose(sum(len(p) * n for p, n in long.items()), 800.0, rel_tol=1e-9)
-    spans, total = best_path("ababa", known, -99.0)
-    assert math.isclose(total, max(map(math.log, weights.values())))
-    assert math.isclose(total, sum(scores["ababa"[a:b]] for a, b in spans))
+            want[piece] += weight * math.exp(v - best) / total
+    return want, best
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_expected_uses_and_best_paths_against_all_splits(scale):
+    """Large scales leave the range of doubles and are redone in logarithms."""
+    rng = random.Random(scale)
+    for _ in range(25):
+        letters = "abç日"[:rng.randrange(1, 5)]
+        scores = {c: -rng.random() * 6 * scale for c in letters}
+        for _ in range(8):
+            scores["".join(rng.choice(letters) for _ in range(rng.randrange(2, 6)))] = \
+                -rng.random() * 9 * scale
+        units = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 11)))
+                 for _ in range(12)]
+        weights = [rng.randrange(1, 9) for _ in units]
+        plain = [_plain_expected(u, n, scores) for u, n in zip(units, weights)]
+        want = sum((p[0] for p in plain), Counter())
+        got = _expected(units, weights, scores)
+        assert all(math.isclose(got[p], want[p], rel_tol=1e-9, abs_tol=1e-9) for p in scores)
+        pieces, costs, found = _lattice(units, scores)
+        total, back = found.best(costs)
+        assert np.allclose(total[found.first[1:] - 1], [p[1] for p in plain])
+        used = np.zeros(len(pieces))
+        found.used(costs, np.array(weights, float), used)
+        known, paths = with_prefixes(scores), Counter()
+        for unit, n in zip(units, weights):
+            spans, best = best_path(unit, known, -1e9)
+            assert math.isclose(best, total[found.first[units.index(unit) + 1] - 1])
+            for a, b in spans:
+                paths[unit[a:b]] += n
+        assert dict(zip(pieces, used.tolist())) == {p: float(paths[p]) for p in pieces}
+
+
+def test_lattices_of_long_uncovered_and_empty_units():
+    scores = {"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -3.2, "aba": -4.0}
+    long = _expected(["ab" * 20_000, "a", "", "axb"], [2, 1, 5, 7], scores)
+    assert math.isclose(sum(len(p) * n for p, n in long.items()), 80_001, rel_tol=1e-6)
+    assert _expected([], [], scores) == dict.fromkeys(scores, 0.0)
+    assert _lattice(["xyz", ""], {})[2].best(np.empty(0))[0].tolist()[0] == 0.0
+    pieces, costs, found = _lattice(["ab", "aba"], scores)
+    split = found.without(found.whole()).best(costs)[0][found.first[1:] - 1]
+    assert split.tolist() == [-4.5, -5.0]
+
+
+def test_the_automaton_finds_exactly_its_pieces():
+    rng = random.Random(2)
+    pieces = sorted({"".join(rng.choice("abcdeé日😀") for _ in range(rng.randrange(1, 8)))
+                     for _ in range(3000)})
+    units = ["".join(rng.choice("abcdeé日😀x") for _ in range(rng.randrange(0, 30))) for _ in range(200)]
+    found = lattice.Automaton.of(pieces).lattice(units)
+    unit = np.searchsorted(found.first, found.start, side="right") - 1
+    got = Counter((int(u), int(o), pieces[p]) for u, o, p in zip(unit, found.offset, found.piece))
+    known = set(pieces)
+    want = Counter((u, a, t[a:b]) for u, t in enumerate(units) for a in range(len(t))
+                   for b in range(a + 1, min(a + 8, len(t)) + 1) if t[a:b] in known)
+    assert got == want
+
+
+def test_seeds_are_all_repeated_substrings(spark):
+    rng = random.Random(4)
+    units = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 25))): rng.randrange(1, 4)
+             for _ in range(80)}
+    want = Counter()
+    for unit, n in units.items():
+        for a in range(len(unit)):
+            for b in range(a + 2, min(a + 16, len(unit)) + 1):
+                want[unit[a:b]] += n
+    df = spark.createDataFrame(list(units.items()), "unit string, n bigint").repartition(5)
+    got = [(r.piece, r.n, r.score) for r in unigram.substring_seed(df, 10_000).collect()]
+    assert got == sorted(((p, n, n * len(p)) for p, n in want.items() if n > 1),
+                         key=lambda r: (-r[2], r[0]))
 
 
 def test_digamma():
