@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphloom.functions.metrics import METRICS, interior_weight
 from glyphloom.functions.text import SPECIALS, whitespace_tokens
-from glyphloom.operators import bpe, bytelevel, ngram, stream, subword, unigram, word
+from glyphloom.operators import bpe, bytelevel, epoch, ngram, stream, subword, unigram, word
 from glyphloom.operators.lookup import keyed, lookup
 from glyphloom.plans import compare, experiment
 from glyphloom.plans.tokenizers import (Tokenizer, bpe_tokenizer, byte_tokenizer,
@@ -248,9 +248,11 @@ def split_sizes(spark, sf_dir):
 def lm_batches(spark, sf_dir):
     """Train windows shuffled, the others in order."""
     stored, joining = _word_stream(spark, sf_dir)
-    starts = stream.window_starts(stream.stream_lengths(stored, joining), SETTINGS.context)
+    lengths = checkpointed(stream.stream_lengths(stored, joining))
+    starts = stream.window_starts(lengths, SETTINGS.context)
+    sizes = stream.split_sizes(lengths, SETTINGS.context, SETTINGS.batch)
     train = F.col("split") == "train"
-    return stream.shuffled_batches(starts.where(train), SETTINGS.batch, seed=42).unionByName(
+    return epoch.shuffled_batches(starts.where(train), sizes, SETTINGS.batch, SETTINGS.seed).unionByName(
         stream.ordered_batches(starts.where(~train), SETTINGS.batch))
 
 
@@ -300,8 +302,7 @@ def _scored(kind: str) -> Query:
 def smoothed_loss(spark, sf_dir):
     data = _prepared(spark, sf_dir, "word")
     model = experiment.train_counts(data)
-    train = data.weighted.where("split = 'train'").select("prev", "cur", "n")
-    parts = [ngram.smoothed_loss(model, train, kind, SETTINGS.k, SETTINGS.share,
+    parts = [ngram.smoothed_loss(model, data.shuffled, kind, SETTINGS.k, SETTINGS.share,
                                  SETTINGS.smoothing)
              .select(F.lit(kind).alias("scorer"), F.round("train_loss", 6).alias("train_loss"))
              for kind in ngram.KINDS]

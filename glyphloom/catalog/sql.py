@@ -7,6 +7,7 @@ materialized windows and batches.  It shows what the Spark plans must equal, not
 from __future__ import annotations
 
 from glyphloom.functions.text import SPECIALS
+from glyphloom.operators.epoch import PRIME, ROUNDS, round_keys
 
 # White space and word characters as RE2 classes.
 _WS = (r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
@@ -145,8 +146,9 @@ def _metric_rows(t: str, name: str) -> str:
     JOIN {t}_text USING (split)"""
 
 
-def _smooth(t: str) -> str:
-    """Label-smoothed train loss: 0.9 of the loss, 0.1 of its mean over the vocabulary."""
+def _smooth(t: str, staged: bool) -> str:
+    """Label-smoothed train loss, 0.9 of the loss and 0.1 of its mean over the vocabulary, as
+    the mean of batch means over the windows in the order of each epoch."""
     return f"""
 {t}_floor AS (SELECT stage, sum(-ln(0.25 * (n_cur + 1.0) / (n_all + v)))
         + (any_value(v) - any_value(kinds)) * any_value(-ln(0.25 * 1.0 / (n_all + v))) AS floor
@@ -158,14 +160,44 @@ def _smooth(t: str) -> str:
         / any_value(v) AS addk_mean,
     (sum(interpolated - plain) + any_value(floor)) / any_value(v) AS interpolated_mean
     FROM {t}_seen JOIN {t}_floor USING (stage) WHERE own = stage GROUP BY stage, prev),
-{t}_whole AS (SELECT prev, cur, count(*) AS n FROM {t}_pairs WHERE split = 'train' GROUP BY ALL),
+{t}_whole AS (SELECT DISTINCT prev, cur FROM {t}_pairs WHERE split = 'train'),
 {_scored(t, t + "_fit", t + "_whole")},
-{t}_train AS (SELECT stage, unnest(['addk', 'interpolated']) AS scorer,
-    unnest([sum(n * (0.9 * addk + 0.1 * coalesce(addk_mean, ln(v)))) / sum(n),
-            sum(n * (0.9 * interpolated + 0.1 * coalesce(interpolated_mean, floor / v)))
-                / sum(n)]) AS train_loss
-    FROM {t}_fit JOIN {t}_floor USING (stage) LEFT JOIN {t}_spread USING (stage, prev)
-    GROUP BY stage)"""
+{t}_pair_loss AS (SELECT stage, prev, cur, unnest(['addk', 'interpolated']) AS scorer,
+    unnest([0.9 * addk + 0.1 * coalesce(addk_mean, ln(v)),
+            0.9 * interpolated + 0.1 * coalesce(interpolated_mean, floor / v)]) AS loss
+    FROM {t}_fit JOIN {t}_floor USING (stage) LEFT JOIN {t}_spread USING (stage, prev)),
+{t}_count AS (SELECT count(*) - {_CONTEXT} AS n FROM {t}_stream WHERE split = 'train'),
+{_permuted(t + "_count", t, 5 if staged else 1)},
+{t}_window_loss AS (SELECT stage, scorer, pos - 1 AS start, avg(loss) OVER (
+        PARTITION BY stage, scorer ORDER BY pos ROWS BETWEEN CURRENT ROW AND {_CONTEXT - 1} FOLLOWING)
+    AS loss FROM {t}_pairs JOIN {t}_pair_loss USING (prev, cur) WHERE split = 'train'),
+{t}_batch_loss AS (SELECT stage, scorer, place // {_BATCH} AS batch, avg(loss) AS loss
+    FROM {t}_window_loss JOIN {t}_order ON start = number AND stage = epoch GROUP BY ALL),
+{t}_train AS (SELECT stage, scorer, avg(loss) AS train_loss FROM {t}_batch_loss GROUP BY ALL)"""
+
+
+def _permuted(counts: str, t: str, epochs: int) -> str:
+    """Places of the numbers 0..n-1 in the order of each epoch; places outside walk on."""
+    def one(source: str) -> str:
+        for step in range(2 * ROUNDS):
+            factor, summand = (
+                "CASE epoch " + " ".join(f"WHEN {e} THEN {round_keys(42, e)[step][i]}"
+                                         for e in range(epochs)) + " END" for i in (0, 1))
+            name, other, size = ("r", "l", "b") if step % 2 else ("l", "r", "a")
+            drawn = f"(({other} * ({factor}) + ({summand})) % {PRIME})"
+            source = (f"SELECT * REPLACE (({name} + ({drawn} * {drawn}) % {PRIME}) % {size} AS {name}) "
+                      f"FROM ({source})")
+        return f"SELECT epoch, number, n, a, b, l * b + r AS place FROM ({source})"
+
+    return f"""
+{t}_grid AS (SELECT n, a, (n + a - 1) // a AS b
+    FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM {counts})),
+{t}_numbers AS (SELECT epoch, number, n, a, b, number // b AS l, number % b AS r FROM (
+    SELECT *, unnest(range(0, n)) AS number FROM {t}_grid)
+    CROSS JOIN (SELECT unnest(range(0, {epochs})) AS epoch)),
+{t}_walk AS ({one(f"SELECT * FROM {t}_numbers")} UNION ALL {one(
+    f"SELECT epoch, number, n, a, b, place // b AS l, place % b AS r FROM {t}_walk WHERE place >= n")}),
+{t}_order AS (SELECT epoch, number, place FROM {t}_walk WHERE place < n)"""
 
 
 def _run(t: str, staged: bool, where: str = "true") -> str:
@@ -175,11 +207,11 @@ def _run(t: str, staged: bool, where: str = "true") -> str:
         _scored(t, f"{t}_scored", f"{t}_asked"), _losses(t)])
 
 
-_BOTH = f"WITH {_WORD_STREAM}, {_byte_stream()}"
+_BOTH = f"WITH RECURSIVE {_WORD_STREAM}, {_byte_stream()}"
 _RUNS = f"""{_BOTH}, {_run("w", False)}, {_run("b", False)},
 runs AS ({_metric_rows("w", "word")} UNION ALL {_metric_rows("b", "byte")})"""
-_EPOCH_ROWS = f"""{_BOTH}, {_run("w", True, "split = 'val'")}, {_smooth("w")},
-{_run("b", True, "split = 'val'")}, {_smooth("b")},
+_EPOCH_ROWS = f"""{_BOTH}, {_run("w", True, "split = 'val'")}, {_smooth("w", True)},
+{_run("b", True, "split = 'val'")}, {_smooth("b", True)},
 records AS (
     SELECT r.*, train_loss FROM ({_metric_rows("w", "word")}) r
     JOIN w_train USING (stage, scorer)
@@ -271,7 +303,7 @@ FROM cells c JOIN w_stream x ON x.split = c.split AND x.pos = start + i
 JOIN w_stream y ON y.split = c.split AND y.pos = start + i + 1 GROUP BY c.split, start"""
 
 
-_STARTS = f"""WITH {_WORD_STREAM},
+_STARTS = f"""WITH RECURSIVE {_WORD_STREAM},
 lens AS (SELECT split, count(*) AS len FROM w_stream GROUP BY split),
 starts AS (SELECT split, pos AS start, len FROM w_stream JOIN lens USING (split)
     WHERE pos < len - {_CONTEXT})"""
@@ -358,10 +390,11 @@ SQL: dict[str, str] = {
         count(*) - {_CONTEXT} AS n_windows,
         CAST(ceil((count(*) - {_CONTEXT}) / {_BATCH}) AS BIGINT) AS n_batches
         FROM w_stream GROUP BY split""",
-    "lm_batches": f"""{_STARTS} SELECT split, start, CAST(start // {_BATCH} AS BIGINT) AS batch_id
-        FROM starts WHERE split <> 'train' UNION ALL SELECT split, start,
-        CAST((row_number() OVER (ORDER BY md5('42:0:' || start), start) - 1) // {_BATCH} AS BIGINT)
-        FROM starts WHERE split = 'train'""",
+    "lm_batches": f"""{_STARTS}, w_count AS (SELECT count(*) AS n FROM starts WHERE split = 'train'),
+        {_permuted("w_count", "w", 1)}
+        SELECT split, start, CAST(start // {_BATCH} AS BIGINT) AS batch_id
+        FROM starts WHERE split <> 'train' UNION ALL SELECT 'train', number,
+        CAST(place // {_BATCH} AS BIGINT) FROM w_order""",
     "target_weights": f"""{_STARTS},
         sized AS (SELECT split, start // {_BATCH} AS b, count(*) AS k FROM starts GROUP BY ALL),
         nb AS (SELECT split, count(*) AS batches FROM sized GROUP BY split),
@@ -385,7 +418,7 @@ SQL: dict[str, str] = {
         SELECT split, prev, cur, count(*) AS n FROM b_pairs GROUP BY ALL""",
     "bigram_score": _score_rows("addk"),
     "interpolated_score": _score_rows("interpolated"),
-    "smoothed_loss": f"""WITH {_WORD_STREAM}, {_pairs("w")}, {_model("w", False)}, {_smooth("w")}
+    "smoothed_loss": f"""WITH RECURSIVE {_WORD_STREAM}, {_pairs("w")}, {_model("w", False)}, {_smooth("w", False)}
         SELECT scorer, round(train_loss, 6) AS train_loss FROM w_train""",
     "run_metrics": f"{_RUNS} SELECT * EXCLUDE (stage) FROM runs",
     "tokenizer_comparison": f"""{_RUNS} SELECT tokenizer, """ + ", ".join(

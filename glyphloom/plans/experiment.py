@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphloom.functions.metrics import METRICS, metric_columns
 from glyphloom.operators import ngram
-from glyphloom.operators.stream import (layout, pair_counts, store_encoded, stream_lengths,
-                                        weighted_pairs)
+from glyphloom.operators.epoch import epoch_weights, last_batch_pairs
+from glyphloom.operators.stream import (layout, pair_counts, split_sizes, store_encoded,
+                                        stream_lengths, weighted_pairs)
 from glyphloom.plans.tokenizers import Tokenizer
 from glyphloom.session import checkpointed, written
 from glyphloom.sources import models
@@ -26,6 +27,7 @@ class Settings:
     k: float = 1.0
     share: float = 0.75
     smoothing: float = 0.1
+    seed: int = 42
 
 
 def corpus_totals(docs: DataFrame) -> DataFrame:
@@ -41,8 +43,9 @@ class Encoded:
     """A corpus encoded once, and the narrow tables every run needs.
 
     ``pairs(split, slice, prev, cur, n)`` counts per training slice,
-    ``weighted(split, prev, cur, n, weight)`` all slices with their window weight, and
-    ``totals`` has one row per split.
+    ``weighted(split, prev, cur, n, weight)`` all slices with their window weight,
+    ``shuffled(epoch, prev, cur, weight)`` the train split with the weights of its shuffled
+    epochs, and ``totals`` has one row per split.
     """
 
     tokenizer: Tokenizer
@@ -50,6 +53,7 @@ class Encoded:
     stored: DataFrame
     pairs: DataFrame
     weighted: DataFrame
+    shuffled: DataFrame
     totals: DataFrame
 
 
@@ -68,10 +72,27 @@ def prepare(docs: DataFrame, tokenizer: Tokenizer, settings: Settings = Settings
     merged = pairs.groupBy("split", "prev", "cur").agg(F.sum("n").alias("n"))
     weights = written(weighted_pairs(stored, tokenizer.joining, placed, merged,
                                      settings.context, settings.batch), "weighted")
-    totals = corpus_totals(docs).join(
-        stream_lengths(stored, tokenizer.joining), "split").withColumnRenamed(
-        "length", "n_tokens")
-    return Encoded(tokenizer, settings, stored, pairs, weights, checkpointed(totals))
+    lengths = checkpointed(stream_lengths(stored, tokenizer.joining))
+    totals = corpus_totals(docs).join(lengths, "split").withColumnRenamed("length", "n_tokens")
+    return Encoded(tokenizer, settings, stored, pairs, weights,
+                   _shuffled(stored, placed, tokenizer, merged, lengths, settings),
+                   checkpointed(totals))
+
+
+def _shuffled(stored: DataFrame, placed: DataFrame, tokenizer: Tokenizer, merged: DataFrame,
+              lengths: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs of the train split, weighted by the shuffled batches of each epoch."""
+    train = F.col("split") == "train"
+    stored, placed = stored.where(train), placed.where(train)
+    sizes = split_sizes(lengths.where(train), settings.context, settings.batch).select(
+        "split", "n_windows")
+    # Batches of one window weigh all windows alike.
+    uniform = weighted_pairs(stored, tokenizer.joining, placed, merged.where(train),
+                             settings.context, 1)
+    last = last_batch_pairs(stored, placed, tokenizer.joining, sizes, settings.context,
+                            settings.batch, settings.seed, settings.epochs)
+    return written(epoch_weights(uniform, last, sizes, settings.context, settings.batch)
+                   .drop("split"), "shuffled")
 
 
 def train_counts(data: Encoded) -> ngram.Bigrams:
@@ -121,12 +142,12 @@ def epoch_records(data: Encoded, kind: str, model: ngram.Bigrams | None = None)
     """The twelve-field record of every epoch, with the run's keys.
 
     Epoch ``e`` is the model after slices 0..e of the training data: all epochs come
-    from one set of counts.  There is no learning rate; ``lr`` is null.
+    from one set of counts.  The train loss is the mean of the batch means over the windows
+    in the order of that epoch.  There is no learning rate; ``lr`` is null.
     """
     settings = data.settings
     model = model or epoch_counts(data)
-    whole = data.weighted.where("split = 'train'").select("prev", "cur", "n")
-    train_loss = ngram.smoothed_loss(model, whole, kind, settings.k, settings.share,
+    train_loss = ngram.smoothed_loss(model, data.shuffled, kind, settings.k, settings.share,
                                      settings.smoothing)
     val = evaluate(model, data, kind, ("val",))
     # One row per epoch on both sides.

@@ -54,7 +54,7 @@ def test_scores_and_smoothing_against_all_words(spark, kind):
         assert math.isclose(sum(_prob(kind, prev, c) for c in range(V)), 1.0) or (
             kind == "interpolated" and prev not in {a for a, _ in TRAIN})
     held = Counter({(4, 5): 2, (1, 4): 1, (4, 0): 5})
-    loss = ngram.smoothed_loss(model, _pairs(spark, held), kind).first().train_loss
+    loss = ngram.smoothed_loss(model, _pairs(spark, held).withColumnRenamed("n", "weight"), kind).first().train_loss
     want = sum(n * (0.9 * -math.log(_prob(kind, a, b)) + 0.1 * sum(
         -math.log(_prob(kind, a, c)) for c in range(V)) / V)
         for (a, b), n in held.items() if b != 0) / 3

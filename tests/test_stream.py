@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphloom.functions.metrics import target_weight
-from glyphloom.operators import stream
+from glyphloom.operators import epoch, stream
 from glyphloom.operators.stream import Joining
 
 JOININGS = [Joining(), Joining(joint=(36,)), Joining((1, 54, 149), (1,), (1, 7))]
@@ -136,15 +136,57 @@ def test_window_starts(spark, stride, chunk):
 
 
 def test_shuffled_batches(spark):
-    lengths = spark.createDataFrame([("a", 1039)], "split string, length bigint")
-    starts = stream.window_starts(lengths, 4)
-    def batches(seed, epoch, df=starts):
-        return {r.start: r.batch_id for r in
-                stream.shuffled_batches(df, 32, seed, epoch).collect()}
+    lengths = spark.createDataFrame([("a", 1039), ("b", 24), ("c", 3)], "split string, length bigint")
+    starts, sizes = stream.window_starts(lengths, 4), stream.split_sizes(lengths, 4, 32)
+    def batches(seed, number, df=starts):
+        return {(r.split, r.start): r.batch_id for r in
+                epoch.shuffled_batches(df, sizes, 32, seed, number).collect()}
     first = batches(1, 0)
-    assert sorted(Counter(first.values()).values()) == [1035 % 32] + [32] * (1035 // 32)
+    assert sorted(Counter(b for (s, _), b in first.items() if s == "a").values()) == [
+        1035 % 32] + [32] * (1035 // 32)
+    assert {k for k in first if k[0] == "b"} == {("b", i) for i in range(20)}
     assert batches(1, 0, starts.repartition(13)) == first
     assert batches(1, 1) != first and batches(2, 0) != first
+    plan = epoch.shuffled_batches(spark.range(9).selectExpr("'a' split", "id start"), sizes, 32)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in text and "Window" not in text
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 7, 35, 100, 1000, 4097])
+def test_permutation_and_its_inverse(spark, count):
+    numbers = spark.range(count).select("id", F.lit(count).alias("n"))
+    for number in range(3):
+        there = epoch.permuted(numbers, "id", "n", "place", 42, number)
+        rows = epoch.permuted(there, "place", "n", "back", 42, number, back=True).collect()
+        assert sorted(r.place for r in rows) == list(range(count))
+        assert all(r.back == r.id for r in rows)
+    if count >= 1000:
+        # No trace of the old order: neighbours end up apart, as in random orders.
+        near = sum(abs(a.place - b.place) < count / 20 for a, b in zip(rows, rows[1:]))
+        assert near < count * 0.16
+
+
+@pytest.mark.parametrize("j", JOININGS, ids=str)
+@pytest.mark.parametrize("context,batch", [(4, 8), (16, 32), (7, 1), (30, 1000)])
+def test_epoch_weights_against_materialised_batches(make_encoded, j, context, batch):
+    lists = _lists(6)
+    want = _stream(lists, j)
+    stored, placed, segs = _laid_out(make_encoded(lists), j)
+    sizes = stream.split_sizes(stream.stream_lengths(stored, j), context, batch)
+    pairs = stream.pair_counts(stored, j, placed)
+    uniform = stream.weighted_pairs(stored, j, placed, pairs, context, 1)
+    last = epoch.last_batch_pairs(stored, placed, j, sizes, context, batch, 42, 2)
+    weights = epoch.epoch_weights(uniform, last, sizes, context, batch).collect()
+    loss = {p: math.log(2 + p[0] * 31 % 17 + p[1]) for p in zip(want, want[1:])}
+    starts = stream.window_starts(stream.stream_lengths(stored, j), context)
+    for number in range(2):
+        held = {}
+        for r in epoch.shuffled_batches(starts, sizes, batch, 42, number).collect():
+            held.setdefault(r.batch_id, []).append(r.start)
+        means = [sum(loss[want[s + i], want[s + i + 1]] for s in b for i in range(context))
+                 / context / len(b) for b in held.values()]
+        got = sum(w.weight * loss[w.prev, w.cur] for w in weights if w.epoch in (None, number))
+        assert math.isclose(got, sum(means) / len(means), rel_tol=1e-9)
 
 
 def _reference_mean(losses, length, context, batch):
