@@ -8,13 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphloom.llm.common import arrow_stage, as_bytes
 from glyphloom.session import checkpointed, parallelism
 
 SLOTS = 1 << 24       # bits of the map of frequent words: 2 MB whatever the corpus
-HELD = 400_000        # distinct entries that one task adds up before it writes them
+HELD = 400_000        # distinct words that one task holds
+PLACES = 3_000_000    # places that one task adds up before it writes them
 STRETCH = 1 << 20     # bytes of a text cut into words at once
 HOT = 4096            # a word with more than one in so many of all words is extended
 BREAK = b"\n"
@@ -92,116 +94,137 @@ def _frequent(words: DataFrame) -> np.ndarray:
 
 def _suffixes(source: DataFrame, bits: np.ndarray, hot: dict[str, set[bytes]], groups: int,
               longest: int) -> DataFrame:
-    """``(part, suffix, n)``: at each place the language and up to ``longest`` words, as far
-    as they are frequent; suffixes of one word are left out, their counts are known.
+    """``(part, stem, w3, ..., n)``: at each place where two frequent words meet, both with
+    the language (the stem) and the words after them as far as they are frequent.
 
     ``part`` is the group of the prefix: the first word, or two where the first is hot.
-    Every word of a suffix ends with a space, so all that share a prefix sort together.
+    Words have numbers inside a task, so equal suffixes are found and added up as numbers.
     """
-    def flush(total):
-        parts, suffixes, sizes = [], [], []
-        for lang, counts in total.items():
-            front = _front(lang)
-            warm = hot.get(lang, ())
-            for suffix, n in counts.items():
-                first = suffix[:suffix.index(b" ") + 1]
-                if first in warm:
-                    first = suffix[:suffix.index(b" ", len(first)) + 1]
-                parts.append(zlib.crc32(front + first) % groups)
-                suffixes.append(front + suffix)
-                sizes.append(n)
-        return pa.record_batch([pa.array(parts, pa.int32()), pa.array(suffixes, pa.binary()),
-                                pa.array(sizes, pa.int64())], ["part", "suffix", "n"])
+    later = [f"w{m}" for m in range(3, longest + 1)]
+
+    def flush(lang, table, held):
+        words, marks, warm = table
+        found, n = _distinct(np.concatenate(held))
+        first, second, *rest = found.T
+        named, mark = pa.array(words, pa.binary()), np.array(marks, np.int64)
+        part = np.where(np.array(warm)[first], mark[first] * 31 + mark[second] * 17, mark[first])
+        space, name = pa.scalar(b" ", pa.binary()), pa.scalar(lang.encode(), pa.binary())
+        stem = pc.binary_join_element_wise(named.take(pa.array(first)), named.take(pa.array(second)),
+                                           name, space)
+        others = [pc.if_else(pa.array(w > 0), named.take(pa.array(w)), None) for w in rest]
+        for at in range(0, len(n), 200_000):
+            yield pa.record_batch([pa.array((part % groups).astype(np.int32)), stem, *others,
+                                   pa.array(n)], ["part", "stem", *later, "n"]).slice(at, 200_000)
 
     def run(batches):
-        total: dict[str, Counter] = {}
-        known: dict[str, dict[bytes, bytes | None]] = {}
-        size = words_known = 0
+        tables: dict[str, tuple] = {}
+        numbers: dict[str, dict[bytes, int]] = {}
+        held: dict[str, list] = {}
+        size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                counts, live = total.setdefault(lang, Counter()), known.setdefault(lang, {})
-                before, named = len(counts), len(live)
-                for words, starts in word_runs(text, longest - 1):
-                    for w in set(words).difference(live):
+                for found, starts in word_runs(text, longest - 1):
+                    known = numbers.setdefault(lang, {})
+                    # Number 0 stands for all that ends a phrase.
+                    words, marks, warm = tables.setdefault(lang, ([b""], [0], [False]))
+                    for w in set(found).difference(known):
                         slot = _slot(lang.encode(), w)
-                        live[w] = w + b" " if w != BREAK and int(bits[slot >> 6]) >> (slot & 63) & 1 \
-                            else None
-                    chain = [live[w] for w in words]
-                    ahead, runs = 0, [0] * len(chain)  # frequent words from each place on
-                    for i in range(len(chain) - 1, -1, -1):
-                        ahead = min(ahead + 1, longest) if chain[i] else 0
-                        runs[i] = ahead
-                    counts.update([b"".join(chain[i:i + r])
-                                   for i, r in enumerate(runs[:starts]) if r > 1])
-                size += len(counts) - before
-                words_known += len(live) - named
-                if size >= HELD:
-                    yield flush(total)
-                    total, size = {}, 0
-                if words_known >= HELD:
-                    known, words_known = {}, 0
-        yield flush(total)
-
-    return arrow_stage(source, run, "part int, suffix binary, n bigint")
-
-
-def _front(lang: str) -> bytes:
-    name = lang.encode()
-    return len(name).to_bytes(4, "big") + name
-
-
-def _subtrees(suffixes: DataFrame, groups: int, least: int) -> DataFrame:
+                        known[w] = 0
+                        if w != BREAK and int(bits[slot >> 6]) >> (slot & 63) & 1:
+                            known[w] = len(words)
+                            words.append(w)
+                            marks.append(zlib.crc32(w))
+                            warm.append(w in hot.get(lang, ()))
+                    ids = np.fromiter(map(known.__getitem__, found), np.int32, len(found))
+                    ids = np.append(ids, np.zeros(longest, np.int32))
+                    suffix = np.stack([ids[j:j + starts] for j in range(longest)], 1)
+                    suffix = suffix[(suffix[:, 0] > 0) & (suffix[:, 1] > 0)]
+                    for j in range(3, longest):
+                        suffix[suffix[:, j - 1] == 0, j] = 0
+                    held.setdefault(lang, []).append(suffix)
+                    size += len(suffix)
+                    if size >= PLACES or sum(map(len, numbers.values())) >= HELD:
+                        for x, part in held.items():
+                            yield from flush(x, tables[x], part)
+                        tables, numbers, held, size = {}, {}, {}, 0
+        for x, part in held.items():
+            yield from flush(x, tables[x], part)
+
+    return arrow_stage(source, run, "part int, stem binary, "
+                       + "".join(f"{w} binary, " for w in later) + "n bigint")
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of numbers below 2**21, and how often each occurs."""
+    code = rows[:, 0].astype(np.int64)
+    for j in range(1, rows.shape[1]):
+        if j > 2:  # three numbers fit into 63 bits
+            code = np.unique(code, return_inverse=True)[1]
+        code = code << 21 | rows[:, j]
+    if rows.shape[1] <= 3:
+        code, n = np.unique(code, return_counts=True)
+        last = rows.shape[1] - 1
+        return np.stack([code >> 21 * (last - j) & (1 << 21) - 1 for j in range(last + 1)], 1), n
+    _, first, n = np.unique(code, return_index=True, return_counts=True)
+    return rows[first].astype(np.int64), n
+
+
+def _subtrees(suffixes: DataFrame, groups: int, least: int, longest: int) -> DataFrame:
     """``(lang, phrase, size, a)``: the nodes of two or more words with ``least`` occurrences.
 
-    The suffixes of a group arrive sorted, which is the order of the leaves: a node is open
-    as long as leaves below it come, and closes with their total.
+    The suffixes of a group arrive sorted, which is the order of the leaves of its subtree.
+    Equal ones are added up to leaves, and a node has the total of the leaves from its first
+    to its last; of an unfinished stem its leaves are kept for the next batch.
     """
+    words = ["stem", *(f"w{m}" for m in range(3, longest + 1))]
     names = ["lang", "phrase", "size", "a"]
+    kinds = [pa.string(), pa.binary(), pa.int32(), pa.int64()]
+
+    def changes(table, depth):
+        """Where a node of ``depth`` columns begins."""
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for name in words[:depth]:
+            column = pc.fill_null(table[name].combine_chunks(), b" ")  # no word is a space
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(
+                zero_copy_only=False)
+        return np.flatnonzero(new)
+
+    def leaves(table):
+        heads = changes(table, len(words))
+        total = np.add.reduceat(table["n"].to_numpy(), heads)
+        return pa.table([table[w].take(pa.array(heads)) for w in words] + [pa.array(total)],
+                        [*words, "n"])
+
+    def nodes(table):
+        rows, n = [], table["n"].to_numpy()
+        for depth in range(1, len(words) + 1):
+            heads = changes(table, depth)
+            total = np.add.reduceat(n, heads)
+            heads, total = heads[total >= least], total[total >= least]
+            picked = table.take(pa.array(heads))
+            for *branch, a in zip(*(picked[w].to_pylist() for w in words[:depth]), total.tolist()):
+                if branch[-1] is not None:
+                    first, second, lang = branch[0].split(b" ", 2)
+                    rows.append((lang.decode(), b" ".join((first, second, *branch[1:])), depth + 1, a))
+        columns = list(zip(*rows)) if rows else [()] * 4
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def run(batches):
-        path: list[bytes] = []    # language and words of the open nodes
-        totals: list[int] = []
-        out: list[tuple] = []
-
-        def close(depth):
-            while len(path) > depth:
-                n = totals.pop()
-                if len(path) > 2 and n >= least:
-                    out.append((path[0].decode(), b" ".join(path[1:]), len(path) - 1, n))
-                path.pop()
-                if totals:
-                    totals[-1] += n
-
-        last = None
+        kept = None
         for batch in batches:
-            for suffix, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if suffix != last:
-                    last = suffix
-                    at = 4 + int.from_bytes(suffix[:4], "big")
-                    branch = [suffix[4:at], *suffix[at:-1].split(b" ")]
-                    shared = 0
-                    for x, y in zip(path, branch):
-                        if x != y:
-                            break
-                        shared += 1
-                    close(shared)
-                    path += branch[shared:]
-                    totals += [0] * (len(branch) - shared)
-                totals[-1] += n
-            if out:
-                yield _rows(out)
-                out.clear()
-        close(0)
-        if out:
-            yield _rows(out)
-
-    def _rows(out):
-        kinds = [pa.string(), pa.binary(), pa.int32(), pa.int64()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            table = pa.Table.from_batches([batch])
+            table = leaves(pa.concat_tables([kept, table]) if kept else table).combine_chunks()
+            cut = int(changes(table, 1)[-1])
+            if cut:
+                yield nodes(table.slice(0, cut))
+            kept = table.slice(cut)
+        if kept:
+            yield nodes(kept)
 
     parts = max(parallelism(suffixes.sparkSession), groups)
-    dealt = suffixes.repartition(parts, "part").sortWithinPartitions("suffix")
-    return arrow_stage(dealt.select("suffix", "n"), run,
+    dealt = suffixes.repartition(parts, "part").sortWithinPartitions(*words)
+    return arrow_stage(dealt.select(*words, "n"), run,
                        "lang string, phrase binary, size int, a bigint")
 
 
@@ -244,9 +267,9 @@ def top_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     hot: dict[str, set[bytes]] = {}
     for r in frequent.where(F.col("n") > max(budget // 4, total // HOT)).select(
             "lang", "word").collect():
-        hot.setdefault(r.lang, set()).add(bytes(r.word) + b" ")
+        hot.setdefault(r.lang, set()).add(bytes(r.word))
     nodes = checkpointed(_subtrees(_suffixes(source, _frequent(frequent), hot, groups, longest),
-                                   groups, least))
+                                   groups, least, longest))
     candidates = nodes.select("lang", F.col("phrase").cast("string").alias("phrase"), "size", "a")
     known = candidates.select("lang", "phrase", "a").unionAll(
         frequent.select("lang", F.col("word").cast("string"), "n"))

@@ -67,6 +67,7 @@ def test_equals_counting_everything(table):
 
 def test_hot_words_are_extended(table, monkeypatch):
     monkeypatch.setattr(phrases, "HELD", 40)
+    monkeypatch.setattr(phrases, "PLACES", 500)
     assert got(table, budget=100, longest=4, least=5, inside=80, top=30) == plain(
         corpus(), 5, 4, 80, 30)
 
