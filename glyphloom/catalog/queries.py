@@ -13,7 +13,7 @@ from glyphloom.operators import bpe, bytelevel, epoch, ngram, stream, subword, u
 from glyphloom.operators.lookup import keyed, lookup
 from glyphloom.plans import compare, experiment
 from glyphloom.plans.tokenizers import (Tokenizer, bpe_tokenizer, byte_tokenizer,
-                                        train_tokenizer, word_tokenizer)
+                                        train_tokenizer, unigram_tokenizer, word_tokenizer)
 from glyphloom.session import checkpointed, scratch_path, spread
 from glyphloom.sources import corpus, files, models, runs
 
@@ -23,6 +23,7 @@ SETTINGS = experiment.Settings()
 SMALL_MERGES = 8
 MERGES = 64
 SEED_PIECES = 2000
+GIVEN = 300
 SEEDS = 1_000_000
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -186,6 +187,34 @@ def _unigram_seed(size: int) -> Query:
     return query
 
 
+def _given_pieces(units: DataFrame) -> DataFrame:
+    """``(piece, log_prob)``: every character and the GIVEN best pairs, scored by share."""
+    singles = units.select("n", F.explode(F.split("unit", "")).alias("piece")).groupBy(
+        "piece").agg(F.sum("n").alias("n"))
+    pairs = unigram.substring_seed(units, GIVEN, 2).select("piece", "n")
+    pieces = checkpointed(singles.unionAll(pairs))
+    total = F.broadcast(pieces.agg(F.sum("n").alias("total")))
+    return pieces.crossJoin(total).select("piece", F.ln(F.col("n") / F.col("total")).alias("log_prob"))
+
+
+def unigram_expected(spark, sf_dir):
+    """Expected uses of given pieces over all segmentations of the corpus."""
+    units = checkpointed(subword.unit_counts(corpus.read_documents(spark, sf_dir)))
+    return unigram.expected_piece_uses(units, _given_pieces(units)).select(
+        "piece", F.round("uses", 3).alias("uses"))
+
+
+def unigram_given_encode(spark, sf_dir):
+    """Documents encoded with a model of given pieces, saved as a file and loaded again."""
+    docs = corpus.read_documents(spark, sf_dir)
+    units = checkpointed(subword.unit_counts(docs))
+    path = scratch_path(spark, "unigram")
+    files.save_unigram_json(unigram.given_model(_given_pieces(units)), path)
+    return unigram_tokenizer(files.load_unigram_json(spark, path)).encode(
+        docs, add_specials=False).select("doc_id", F.size("ids").alias("n_ids"),
+                                         _joined(F.col("ids")).alias("ids"))
+
+
 def _unigram(spark, docs) -> Tokenizer:
     return train_tokenizer("unigram", docs, VOCAB, seed_size=SEEDS)
 
@@ -407,6 +436,8 @@ QUERIES: dict[str, Query] = {
     "bpe_encode_raw": _bpe_encoded("raw", SMALL_MERGES),
     "bpe_decode": _bpe_decoded(SMALL_MERGES),
     "unigram_seed": _unigram_seed(SEED_PIECES),
+    "unigram_expected": unigram_expected,
+    "unigram_given_encode": unigram_given_encode,
     "unigram_vocab": unigram_vocab,
     "unigram_encode": unigram_encode,
     "unigram_decode": unigram_decode,

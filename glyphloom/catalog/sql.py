@@ -291,6 +291,28 @@ _BPE_ROWS = """SELECT doc_id, CAST(count(id) AS INTEGER) AS n_ids,
     FROM (SELECT doc_id FROM documents) LEFT JOIN stream USING (doc_id) GROUP BY doc_id"""
 
 
+# Characters and the 300 best pairs of characters as pieces, scored by their share.
+_UNIGRAM = f"""{_units(_PRETOKEN)},
+counted AS (SELECT piece, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, unnest(regexp_extract_all(unit, '(?s).')) AS piece FROM units) GROUP BY piece
+    UNION ALL (SELECT piece, CAST(sum(n) AS BIGINT) FROM (
+        SELECT n, substr(unit, i, 2) AS piece FROM (
+            SELECT unit, n, unnest(range(1, length(unit))) AS i FROM units WHERE length(unit) > 1))
+    GROUP BY piece HAVING sum(n) >= 2 ORDER BY 2 DESC, 1 LIMIT 300)),
+given AS (SELECT piece, p, ln(p) AS s FROM (
+    SELECT piece, n / sum(n) OVER () AS p FROM counted))"""
+
+
+def _on(end: str) -> str:
+    """The pieces of one and of two characters that end at a place."""
+    return (f"JOIN given c ON c.piece = substr(unit, {end}, 1) "
+            f"LEFT JOIN given d ON {end} > 1 AND d.piece = substr(unit, {end} - 1, 2)")
+
+
+def _step(two_back: str, one_back: str) -> str:
+    return f"{one_back} * c.p + {two_back} * coalesce(d.p, 0.0)"
+
+
 def _window_rows(context: int, stride: int) -> str:
     return f"""WITH {_WORD_STREAM},
 starts AS (SELECT split, pos AS start FROM w_stream
@@ -377,6 +399,37 @@ SQL: dict[str, str] = {
             least(16, length(unit) - i + 1) + 1)) AS k FROM heads))
         SELECT piece, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) * length(piece) AS BIGINT) AS score
         FROM cut GROUP BY piece HAVING sum(n) >= 2 ORDER BY 3 DESC, 1 LIMIT 2000""",
+    "unigram_expected": f"""WITH RECURSIVE {_UNIGRAM},
+        ahead AS (SELECT unit, n, 0 AS t, 0.0::DOUBLE AS a0, 1.0::DOUBLE AS a1 FROM units
+            UNION ALL SELECT unit, n, t + 1, a1, {_step("a0", "a1")} FROM ahead
+            {_on("t + 1")} WHERE t < length(unit)),
+        behind AS (SELECT unit, length(unit) AS t, 0.0::DOUBLE AS b2, 1.0::DOUBLE AS b1 FROM units
+            UNION ALL SELECT b.unit, t - 1, b1, b1 * c.p + b2 * coalesce(d.p, 0.0) FROM behind b
+            JOIN given c ON c.piece = substr(unit, t, 1)
+            LEFT JOIN given d ON t < length(unit) AND d.piece = substr(unit, t, 2) WHERE t > 0),
+        total AS (SELECT unit, a1 AS z FROM ahead WHERE t = length(unit)),
+        uses AS (SELECT g.piece, x.n * x.a1 * g.p * y.b1 / z AS u FROM ahead x
+            JOIN (SELECT unnest([1, 2]) AS k) ON t + k <= length(unit)
+            JOIN given g ON g.piece = substr(x.unit, t + 1, k)
+            JOIN behind y ON y.unit = x.unit AND y.t = x.t + k JOIN total ON total.unit = x.unit)
+        SELECT piece, round(coalesce(sum(u), 0), 3) AS uses FROM given LEFT JOIN uses USING (piece)
+        GROUP BY piece""",
+    "unigram_given_encode": f"""WITH RECURSIVE {_UNIGRAM},
+        ids AS (SELECT piece, CAST(row_number() OVER (ORDER BY s DESC, piece) + 3 AS INTEGER) AS id
+            FROM given),
+        best AS (SELECT unit, 0 AS t, CAST(NULL AS DOUBLE) AS s0, 0.0::DOUBLE AS s1,
+            [] :: VARCHAR[] AS p0, [] :: VARCHAR[] AS p1 FROM units
+            UNION ALL SELECT unit, t + 1, s1,
+                CASE WHEN s0 + d.s >= s1 + c.s THEN s0 + d.s ELSE s1 + c.s END, p1,
+                CASE WHEN s0 + d.s >= s1 + c.s THEN list_append(p0, d.piece)
+                    ELSE list_append(p1, c.piece) END
+            FROM best {_on("t + 1")} WHERE t < length(unit)),
+        cut AS (SELECT unit, unnest(p1) AS piece, generate_subscripts(p1, 1) AS k FROM best
+            WHERE t = length(unit)),
+        coded AS (SELECT doc_id, pos, k, id FROM occ JOIN cut USING (unit) JOIN ids USING (piece))
+        SELECT doc_id, CAST(count(id) AS INTEGER) AS n_ids,
+        coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos, k), '') AS ids
+        FROM (SELECT doc_id FROM documents) LEFT JOIN coded USING (doc_id) GROUP BY doc_id""",
     "stream_positions": f"WITH {_WORD_STREAM} SELECT split, pos, id FROM w_stream",
     "lm_windows": _window_rows(8, 1),
     "lm_windows_stride16": _window_rows(128, 16),

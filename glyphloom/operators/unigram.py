@@ -164,6 +164,31 @@ def _uses(units: DataFrame, automaton, scores: np.ndarray, kind: str) -> np.ndar
     return out
 
 
+def expected_piece_uses(units: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``(piece, uses)``: uses of each of ``(piece, log_prob)`` expected over all
+    segmentations of ``(unit, n)``, which the pieces must cover."""
+    rows = sorted(map(tuple, pieces.select("piece", "log_prob").collect()))
+    names = [p for p, _ in rows]
+    uses = _uses(units, Automaton.of(names), np.array([s for _, s in rows], float), "expected")
+    return units.sparkSession.createDataFrame(
+        pd.DataFrame({"piece": names, "uses": uses}), "piece string, uses double")
+
+
+def given_model(pieces: DataFrame) -> UnigramModel:
+    """A model of ``(piece, log_prob)`` behind the specials, by falling score, then piece."""
+    rows = sorted(map(tuple, pieces.select("piece", "log_prob").collect()),
+                  key=lambda r: (-r[1], r[0]))
+    return _numbered(pieces.sparkSession, rows)
+
+
+def _numbered(spark, final: list[tuple[str, float]]) -> UnigramModel:
+    rows = [(t, 0.0) for t in SPECIALS] + final
+    return UnigramModel(spark.createDataFrame(
+        pd.DataFrame({"id": range(len(rows)), "piece": [r[0] for r in rows],
+                      "log_prob": [r[1] for r in rows]}),
+        "id int, piece string, log_prob double"), len(rows))
+
+
 def _reestimate(units: DataFrame, automaton, scores: np.ndarray,
                 letters: np.ndarray) -> np.ndarray:
     """One expectation-maximization step; rare pieces go (score -inf), characters stay."""
@@ -237,9 +262,4 @@ def unigram_train(units: DataFrame, vocab_size: int = 5000,
     scored.sort(key=lambda p: (-p[1], p[0]))
     extra = [p for p in scored if not p[2]][:target - sum(one for *_, one in scored)]
     final = sorted([p for p in scored if p[2]] + extra, key=lambda p: (-p[1], p[0]))
-    rows = [(t, 0.0) for t in SPECIALS] + [p[:2] for p in final]
-    pieces_table = spark.createDataFrame(
-        pd.DataFrame({"id": range(len(rows)), "piece": [r[0] for r in rows],
-                      "log_prob": [r[1] for r in rows]}),
-        "id int, piece string, log_prob double")
-    return UnigramModel(pieces_table, len(rows))
+    return _numbered(spark, [p[:2] for p in final])
