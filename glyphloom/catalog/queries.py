@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,7 +10,7 @@ from glyphloom.functions.metrics import METRICS, interior_weight
 from glyphloom.functions.text import SPECIALS, whitespace_tokens
 from glyphloom.operators import bpe, bytelevel, epoch, ngram, stream, subword, unigram, word
 from glyphloom.operators.lookup import keyed, lookup
-from glyphloom.plans import compare, experiment
+from glyphloom.plans import compare, experiment, ledger
 from glyphloom.plans.tokenizers import (Tokenizer, bpe_tokenizer, byte_tokenizer,
                                         train_tokenizer, unigram_tokenizer, word_tokenizer)
 from glyphloom.session import checkpointed, scratch_path, spread
@@ -340,38 +339,35 @@ def smoothed_loss(spark, sf_dir):
 
 # Runs -----------------------------------------------------------------------------
 
-def _prepared(spark, sf_dir, name: str) -> experiment.Encoded:
-    docs = corpus.read_documents(spark, sf_dir)
-    tokenizer = train_tokenizer(name, corpus.pick_split(docs, "train"), VOCAB)
-    return experiment.prepare(docs, tokenizer, SETTINGS)
+# The tokenizers whose runs SQL repeats, and all of them: the whole grid.
+SHORT = ("word", "byte")
+GRID = (*SHORT, "bpe", ledger.RAW, "unigram")
 
 
-def _grid(spark, sf_dir) -> dict[str, experiment.Encoded]:
-    return {name: _prepared(spark, sf_dir, name) for name in ("word", "byte")}
+def _ledger(spark, sf_dir) -> ledger.Ledger:
+    return ledger.Ledger.of(corpus.read_documents(spark, sf_dir), SETTINGS)
 
 
-def run_metrics(spark, sf_dir):
-    found = compare.all_runs(_grid(spark, sf_dir))
-    return _rounded(found, *METRICS, "nll_plain", "unk_rate")
+def _prepared(spark, sf_dir, name: str) -> experiment.Encoded:
+    return _ledger(spark, sf_dir).run(name, VOCAB)
 
 
-def run_metrics_subword(spark, sf_dir):
-    """All four tokenizers, trained to VOCAB."""
-    docs = corpus.read_documents(spark, sf_dir)
-    train = corpus.pick_split(docs, "train")
-    path = scratch_path(spark, "bpe")
-    models.save_bpe(_bpe_model(train, None), path)
-    raw = bpe_tokenizer(models.load_bpe(spark, path, "raw"))
-    tokenizers = [train_tokenizer("word", train, VOCAB), byte_tokenizer(spark),
-                  bpe_tokenizer(models.load_bpe(spark, path)), replace(raw, name="bpe-raw"),
-                  _unigram(spark, train)]
-    data = {t.name: experiment.prepare(docs, t, SETTINGS) for t in tokenizers}
-    return _rounded(compare.all_runs(data), *METRICS, "nll_plain", "unk_rate")
+def _all_runs(spark, sf_dir, names) -> DataFrame:
+    book = _ledger(spark, sf_dir)
+    return compare.all_runs({n: book.run(n, VOCAB) for n in names}, ledger=book, size=VOCAB)
 
 
-def tokenizer_comparison(spark, sf_dir):
-    found = compare.comparison(compare.all_runs(_grid(spark, sf_dir)))
-    return _rounded(found, *[c for c in found.columns if c != "tokenizer"])
+def _run_metrics(names) -> Query:
+    def query(spark, sf_dir):
+        return _rounded(_all_runs(spark, sf_dir, names), *METRICS, "nll_plain", "unk_rate")
+    return query
+
+
+def _comparison(names) -> Query:
+    def query(spark, sf_dir):
+        found = compare.comparison(_all_runs(spark, sf_dir, names))
+        return _rounded(found, *[c for c in found.columns if c != "tokenizer"])
+    return query
 
 
 def saved_model_score(spark, sf_dir):
@@ -383,36 +379,51 @@ def saved_model_score(spark, sf_dir):
     return _rounded(found, *METRICS, "nll_plain", "unk_rate")
 
 
-def _saved_epochs(spark, sf_dir) -> DataFrame:
+def _epochs(spark, sf_dir, names):
+    """The epoch records of each run of the grid."""
+    book = _ledger(spark, sf_dir)
+    for name in names:
+        data = book.run(name, VOCAB)
+        model = book.model(data, VOCAB, epochs=True)
+        for kind in ngram.KINDS:
+            yield experiment.epoch_records(data, kind, model)
+
+
+def _saved_epochs(spark, sf_dir, names) -> DataFrame:
     """Epoch records of the grid, written run by run and read back."""
     path = scratch_path(spark, "runs")
-    for data in _grid(spark, sf_dir).values():
-        model = experiment.epoch_counts(data)
-        for kind in ngram.KINDS:
-            runs.write_runs(experiment.epoch_records(data, kind, model), path)
+    for records in _epochs(spark, sf_dir, names):
+        runs.write_runs(records, path)
     return runs.read_runs(spark, path)
 
 
-def epoch_records(spark, sf_dir):
-    return _rounded(_saved_epochs(spark, sf_dir), *METRICS, "train_loss", "val_loss")
+def _epoch_records(names) -> Query:
+    def query(spark, sf_dir):
+        return _rounded(_saved_epochs(spark, sf_dir, names), *METRICS, "train_loss", "val_loss")
+    return query
 
 
-def result_files(spark, sf_dir):
+def _result_files(names) -> Query:
     """Epoch records written as one array file per run, and read back."""
-    path = scratch_path(spark, "results")
-    for data in _grid(spark, sf_dir).values():
-        model = experiment.epoch_counts(data)
-        for kind in ngram.KINDS:
-            files.save_result_files(experiment.epoch_records(data, kind, model), path)
-    return _rounded(runs.read_result_files(spark, path), *METRICS, "train_loss", "val_loss")
+    def query(spark, sf_dir):
+        path = scratch_path(spark, "results")
+        for records in _epochs(spark, sf_dir, names):
+            files.save_result_files(records, path)
+        return _rounded(runs.read_result_files(spark, path), *METRICS, "train_loss", "val_loss")
+    return query
 
 
-def curves(spark, sf_dir):
-    return _rounded(compare.curves(_saved_epochs(spark, sf_dir)), "train_loss", "val_loss")
+def _curves(names) -> Query:
+    def query(spark, sf_dir):
+        return _rounded(compare.curves(_saved_epochs(spark, sf_dir, names)),
+                        "train_loss", "val_loss")
+    return query
 
 
-def curve_summary(spark, sf_dir):
-    return _rounded(compare.curve_summary(_saved_epochs(spark, sf_dir)), "low", "high")
+def _curve_summary(names) -> Query:
+    def query(spark, sf_dir):
+        return _rounded(compare.curve_summary(_saved_epochs(spark, sf_dir, names)), "low", "high")
+    return query
 
 
 QUERIES: dict[str, Query] = {
@@ -454,14 +465,14 @@ QUERIES: dict[str, Query] = {
     "bigram_score": _scored(ngram.ADD_K),
     "interpolated_score": _scored(ngram.INTERPOLATED),
     "smoothed_loss": smoothed_loss,
-    "run_metrics": run_metrics,
-    "run_metrics_subword": run_metrics_subword,
-    "tokenizer_comparison": tokenizer_comparison,
+    "run_metrics": _run_metrics(SHORT),
+    "run_metrics_subword": _run_metrics(GRID),
+    "tokenizer_comparison": _comparison(SHORT),
     "saved_model_score": saved_model_score,
-    "epoch_records": epoch_records,
-    "result_files": result_files,
-    "curves": curves,
-    "curve_summary": curve_summary,
+    "epoch_records": _epoch_records(SHORT),
+    "result_files": _result_files(SHORT),
+    "curves": _curves(SHORT),
+    "curve_summary": _curve_summary(SHORT),
 }
 
 # At the size of the reference, which SQL cannot repeat in a reasonable time.
@@ -472,4 +483,8 @@ FULL: dict[str, Query] = {
     "bpe_encode_raw_full": _bpe_encoded("raw", None),
     "bpe_decode_full": _bpe_decoded(None),
     "unigram_seed_full": _unigram_seed(SEEDS),
+    "tokenizer_comparison_full": _comparison(GRID),
+    "epoch_records_full": _epoch_records(GRID),
+    "result_files_full": _result_files(GRID),
+    "curves_full": _curves(GRID),
 }

@@ -50,7 +50,7 @@ class Encoded:
 
     tokenizer: Tokenizer
     settings: Settings
-    stored: DataFrame
+    stored: DataFrame | None
     pairs: DataFrame
     weighted: DataFrame
     shuffled: DataFrame

@@ -27,6 +27,7 @@ class Tokenizer:
     joining: Joining
     _encode: Callable[[DataFrame], DataFrame]
     _decode: Callable[[DataFrame, bool], DataFrame]
+    model: object = None
 
     def encode(self, docs: DataFrame, add_specials: bool = True) -> DataFrame:
         encoded = self._encode(docs)
@@ -42,6 +43,9 @@ class Tokenizer:
     def decode(self, encoded: DataFrame, skip_specials: bool = True) -> DataFrame:
         return self._decode(encoded, skip_specials)
 
+    def renamed(self, name: str) -> Tokenizer:
+        return replace(self, name=name)
+
 
 def check_name(name: str) -> None:
     if name not in NAMES:
@@ -64,13 +68,13 @@ def byte_tokenizer(spark: SparkSession) -> Tokenizer:
 def bpe_tokenizer(model: bpe.BpeModel) -> Tokenizer:
     return Tokenizer("bpe", model.vocab, model.vocab_size, model.joining(),
                      lambda docs: bpe.bpe_encode(docs, model),
-                     lambda enc, skip: bpe.bpe_decode(enc, model, skip))
+                     lambda enc, skip: bpe.bpe_decode(enc, model, skip), model)
 
 
 def unigram_tokenizer(model: unigram.UnigramModel) -> Tokenizer:
     return Tokenizer("unigram", model.vocab, model.vocab_size, model.joining(),
                      lambda docs: unigram.unigram_encode(docs, model),
-                     lambda enc, skip: unigram.unigram_decode(enc, model, skip))
+                     lambda enc, skip: unigram.unigram_decode(enc, model, skip), model)
 
 
 def train_tokenizer(name: str, docs: DataFrame, vocab_size: int = 5000,
@@ -87,6 +91,16 @@ def train_tokenizer(name: str, docs: DataFrame, vocab_size: int = 5000,
     return byte_tokenizer(docs.sparkSession)
 
 
+def save_tokenizer(tokenizer: Tokenizer, path: str) -> None:
+    """What :func:`load_tokenizer` needs; nothing for bytes."""
+    if tokenizer.name == "word":
+        models.save_vocab(tokenizer.vocab, path)
+    elif tokenizer.name == "bpe":
+        models.save_bpe(tokenizer.model, path)
+    elif tokenizer.name == "unigram":
+        models.save_unigram(tokenizer.model, path)
+
+
 def load_tokenizer(name: str, spark: SparkSession, path: str,
                    mode: str | None = None) -> Tokenizer:
     """Load a saved tokenizer by name."""
