@@ -160,6 +160,8 @@ def test_permutation_and_its_inverse(spark, count):
         rows = epoch.permuted(there, "place", "n", "back", 42, number, back=True).collect()
         assert sorted(r.place for r in rows) == list(range(count))
         assert all(r.back == r.id for r in rows)
+        assert all(epoch.moved(r.id, count, 42, number) == r.place for r in rows)
+        assert all(epoch.moved(r.place, count, 42, number, back=True) == r.id for r in rows)
     if count >= 1000:
         # No trace of the old order: neighbours end up apart, as in random orders.
         near = sum(abs(a.place - b.place) < count / 20 for a, b in zip(rows, rows[1:]))
