@@ -12,11 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphloom.llm.common import arrow_stage, as_bytes
-from glyphloom.session import checkpointed, parallelism
+from glyphloom.session import checkpointed
 
 SLOTS = 1 << 24       # bits of the map of frequent words: 2 MB whatever the corpus
-HELD = 400_000        # distinct words that one task holds
-PLACES = 3_000_000    # places that one task adds up before it writes them
+HELD = 250_000        # distinct words that one task holds
+PLACES = 1_500_000    # places that one task adds up before it writes them
 STRETCH = 1 << 20     # bytes of a text cut into words at once
 HOT = 4096            # a word with more than one in so many of all words is extended
 BREAK = b"\n"
@@ -107,7 +107,7 @@ def _suffixes(source: DataFrame, bits: np.ndarray, hot: dict[str, set[bytes]], g
         found, n = _distinct(np.concatenate(held))
         first, second, *rest = found.T
         named, mark = pa.array(words, pa.binary()), np.array(marks, np.int64)
-        part = np.where(np.array(warm)[first], mark[first] * 31 + mark[second] * 17, mark[first])
+        part = np.where(np.array(warm)[first], mark[first] * 1_000_003 ^ mark[second], mark[first])
         space, name = pa.scalar(b" ", pa.binary()), pa.scalar(lang.encode(), pa.binary())
         stem = pc.binary_join_element_wise(named.take(pa.array(first)), named.take(pa.array(second)),
                                            name, space)
@@ -222,8 +222,8 @@ def _subtrees(suffixes: DataFrame, groups: int, least: int, longest: int) -> Dat
         if kept:
             yield nodes(kept)
 
-    parts = max(parallelism(suffixes.sparkSession), groups)
-    dealt = suffixes.repartition(parts, "part").sortWithinPartitions(*words)
+    # One group a task, by number: hashed numbers would put several into one.
+    dealt = suffixes.repartitionById(groups, F.col("part")).sortWithinPartitions(*words)
     return arrow_stage(dealt.select(*words, "n"), run,
                        "lang string, phrase binary, size int, a bigint")
 
