@@ -152,10 +152,10 @@ def test_shuffled_batches(spark):
     assert "Sort" not in text and "Window" not in text
 
 
-@pytest.mark.parametrize("count", [1, 2, 3, 7, 35, 100, 1000, 4097])
+@pytest.mark.parametrize("count", [1, 7, 35, 1000])
 def test_permutation_and_its_inverse(spark, count):
     numbers = spark.range(count).select("id", F.lit(count).alias("n"))
-    for number in range(3):
+    for number in range(2):
         there = epoch.permuted(numbers, "id", "n", "place", 42, number)
         rows = epoch.permuted(there, "place", "n", "back", 42, number, back=True).collect()
         assert sorted(r.place for r in rows) == list(range(count))
