@@ -1,5 +1,6 @@
 """Streams, windows, batches and weights against lists."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -234,3 +235,20 @@ def test_stream_shorter_than_a_window_has_no_weights(make_encoded):
     pairs = stream.pair_counts(stored, Joining(), placed)
     rows = stream.weighted_pairs(stored, Joining(), placed, pairs, 128, 32).collect()
     assert sum(r.n for r in rows) == 3 and all(r.weight is None for r in rows)
+
+
+@pytest.mark.parametrize("context, stride, block", [(3, 1, 7), (4, 3, 5), (8, 16, 64), (5, 1, 4096)])
+def test_windows_as_text_and_digest(make_encoded, context, stride, block):
+    """Both spelled forms equal the joined arrays, also where blocks and documents end."""
+    lists = [[i * 37 % 1301 for i in ids] for ids in _lists(9)]
+    _, _, segs = _laid_out(make_encoded(lists, parts=4), Joining())
+    plain = stream.next_token_windows(segs, context, stride, block).collect()
+    want = {(r.split, r.start): [" ".join(map(str, side)) for side in (r.x, r.y)] for r in plain}
+    assert want
+    for sides, show in (("text", str), ("digest", lambda s: hashlib.md5(s.encode()).hexdigest())):
+        rows = stream.next_token_windows(segs, context, stride, block, sides).collect()
+        assert len(rows) == len(want)
+        assert {(r.split, r.start): [r.x, r.y] for r in rows} == {
+            k: [show(s) for s in v] for k, v in want.items()}
+    with pytest.raises(ValueError):
+        stream.next_token_windows(segs, context, sides="other")
