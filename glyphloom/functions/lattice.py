@@ -84,6 +84,11 @@ class Automaton:
                        np.concatenate([*pieces, np.empty(0, np.int32)]), place - starts[of], size)
 
 
+def _narrow(values: np.ndarray, top: int) -> np.ndarray:
+    """``values`` of 0 to ``top`` in 16 bits where they fit: such columns are sorted by digits."""
+    return values.astype(np.uint16) if top < 1 << 16 else values
+
+
 def _home(keys: np.ndarray, slots: int) -> np.ndarray:
     return (keys.astype(np.uint64) * _ODD >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
 
@@ -128,8 +133,9 @@ class Lattice:
 
     def _slices(self, by: np.ndarray):
         """Edges in groups of rising ``by``."""
-        order = np.argsort(by, kind="stable")
-        cuts = np.searchsorted(by[order], np.arange(int(by.max(initial=-1)) + 2))
+        top = int(by.max(initial=-1))
+        order = np.argsort(_narrow(by, top), kind="stable")
+        cuts = np.append(0, np.cumsum(np.bincount(by, minlength=top + 1)))
         return [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def expected(self, scores: np.ndarray, weights: np.ndarray, into: np.ndarray) -> None:
@@ -157,12 +163,14 @@ class Lattice:
             for edges in reversed(steps):
                 np.add.at(behind, self.start[edges], behind[self.end[edges]] * prob[edges])
             share = ahead[self.start] * behind[self.end] * prob
+        if good.all():
+            np.add.at(into, self.piece, share)
+            return
         unit = np.searchsorted(self.first, self.start, side="right") - 1
         fine = good[unit]
         np.add.at(into, self.piece[fine], share[fine])
-        if not good.all():
-            rest = self.without(fine)
-            rest._expected_log(scores, np.where(good, 0.0, weights), into)
+        rest = self.without(fine)
+        rest._expected_log(scores, np.where(good, 0.0, weights), into)
 
     def _expected_log(self, scores: np.ndarray, weights: np.ndarray, into: np.ndarray) -> None:
         cost, steps = scores[self.piece], self._slices(self.offset)
@@ -187,9 +195,10 @@ class Lattice:
         total = np.full(self.first[-1], -np.inf)
         total[self.first[:-1]] = 0.0
         back = np.full(self.first[-1], -1)
-        ranked = np.lexsort((self.start, self.end, self.offset + self.size))
-        stop = (self.offset + self.size)[ranked]
-        cuts = np.searchsorted(stop, np.arange(int(stop.max(initial=0)) + 2))
+        stop = self.offset + self.size
+        top = int(stop.max(initial=0))
+        ranked = np.lexsort((self.start, self.end, _narrow(stop, top)))
+        cuts = np.append(0, np.cumsum(np.bincount(stop, minlength=top + 1)))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if a == b:
                 continue

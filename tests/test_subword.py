@@ -339,6 +339,21 @@ def test_lattices_of_long_uncovered_and_empty_units():
     assert split.tolist() == [-4.5, -5.0]
 
 
+def test_lattice_columns_are_sorted_by_digits(monkeypatch):
+    # Wide columns are sorted by comparing, several times slower; both give one order.
+    scores = {"a": -1.0, "b": -1.5, "ab": -2.0, "ba": -2.25, "aab": -3.0}
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **k: sorts.append(x.dtype) or plain(x, **k))
+    _, costs, found = _lattice(["ab" * 20, "ba", ""], scores)
+    uses = np.zeros(len(costs))
+    found.expected(costs, np.ones(3), uses)
+    assert sorts == [np.uint16]
+    monkeypatch.setattr(lattice, "_narrow", lambda values, top: values)
+    wide = np.zeros(len(costs))
+    found.expected(costs, np.ones(3), wide)
+    assert uses.tolist() == wide.tolist()
+
+
 def test_the_automaton_finds_exactly_its_pieces():
     rng = random.Random(2)
     pieces = sorted({"".join(rng.choice("abcdeé日😀") for _ in range(rng.randrange(1, 8)))
