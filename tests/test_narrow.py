@@ -39,9 +39,28 @@ def test_a_piece_is_segmented_once_a_task():
     assert sorted(seen) == ["a", "b", "c"]
 
 
+def test_pieces_met_again_are_remembered(monkeypatch):
+    monkeypatch.setattr(narrow, "PIECES", 4)
+    monkeypatch.setattr(narrow, "MEMO", 5)
+    seen = []
+    run = narrow._encoder(lambda p: seen.append(p) or [len(p)])
+    lists = [["often", f"rare{i}", f"rarer{i}"] for i in range(30)]
+    assert _rows(run(iter([_batch(lists, pa.string())]))) == [
+        (i, [len(p) for p in ps]) for i, ps in enumerate(lists)]
+    assert seen.count("often") == 1 and len(seen) == 61
+
+
 def test_texts_are_cut_once(spark):
     docs = spark.createDataFrame([("train", 1, "a bb"), ("train", 2, None), ("train", 3, "")],
                                  "split string, doc_id bigint, text string")
     found = narrow.encode_in_place(docs, whitespace_tokens(F.col("text")), lambda p: [len(p)])
     assert sorted((r.doc_id, r.ids) for r in found.collect()) == [(1, [1, 2]), (3, [])]
     assert found._jdf.queryExecution().executedPlan().toString().count("split(text") == 1
+
+
+def test_a_batch_is_copied_only_to_leave_out_rows():
+    whole = _batch([["a", "b"], [], ["c"] * 3], pa.string())
+    (part,) = narrow.parts_of_batches(iter([whole]))
+    assert part.column(2).values.buffers()[2].address == whole.column(2).values.buffers()[2].address
+    (part,) = narrow.parts_of_batches(iter([_batch([["a"], None, ["b"]], pa.string())]))
+    assert part.column(1).to_pylist() == [0, 2]
