@@ -5,11 +5,12 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glyphloom.functions.metrics import target_weight
-from glyphloom.operators import epoch, stream
+from glyphloom.operators import epoch, narrow, stream
 from glyphloom.operators.stream import Joining
 
 JOININGS = [Joining(), Joining(joint=(36,)), Joining((1, 54, 149), (1,), (1, 7))]
@@ -252,3 +253,32 @@ def test_windows_as_text_and_digest(make_encoded, context, stride, block):
             k: [show(s) for s in v] for k, v in want.items()}
     with pytest.raises(ValueError):
         stream.next_token_windows(segs, context, sides="other")
+
+
+def test_pairs_are_added_up_in_the_task(monkeypatch):
+    monkeypatch.setattr(narrow, "PIECES", 8)
+    lists = [[5, 6] * 4, [], None, [7], [6, 5, 6], [2**31 - 1, 0, 3], [5, 6] * 9]
+    names = ["train", "val", "val", None, "train", None, "train"]
+    batch = pa.record_batch([pa.array(names), pa.array(lists, pa.list_(pa.int32()))], ["split", "seg"])
+    plain = Counter((n, *p) for n, ids in zip(names, lists) for p in zip(ids or [], (ids or [])[1:]))
+    for held, parts in ((100, 2), (1, 4)):
+        monkeypatch.setattr(stream, "HELD", held)
+        out = list(stream._pairs_counted(["split"])(iter([batch, batch.slice(4)])))
+        found = Counter()
+        for row in (r for b in out for r in b.to_pylist()):
+            found[row["split"], row["prev"], row["cur"]] += row["n"]
+        assert found == plain + Counter((n, *p) for n, ids in zip(names[4:], lists[4:])
+                                        for p in zip(ids, ids[1:]))
+        assert len(out) >= parts  # one row a pair when all fit, more when they are passed on
+        if held == 100:
+            assert sum(b.num_rows for b in out) == len(plain)
+
+
+def test_pairs_leave_the_task_counted(spark):
+    rows = [("train", i, [5, 6] * 50) for i in range(3)]
+    stored = stream.store_encoded(spark.createDataFrame(rows, "split string, doc_id bigint, ids array<int>"))
+    found = stream.pair_counts(stored, stream.Joining())
+    # 300 pairs would leave an explode as rows of their own.
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.prev, r.cur): r.n for r in found.collect()} == {
+        (2, 5): 1, (5, 6): 150, (6, 5): 149, (6, 3): 1}
