@@ -17,7 +17,7 @@ from glyphloom.functions.text import PRETOKEN_SPECIALS, SPECIALS, UNK, pretokens
 from glyphloom.operators.stream import Joining
 from glyphloom.operators.narrow import encode_in_place
 from glyphloom.operators.subword import fuse_unknown, special_ids, subword_decode
-from glyphloom.session import checkpointed, parallelism
+from glyphloom.session import checkpointed
 
 # Fixed values of the training method.
 LONGEST_PIECE = 16
@@ -233,7 +233,8 @@ def unigram_train(units: DataFrame, vocab_size: int = 5000,
     plus the characters, as arrays.
     """
     spark = units.sparkSession
-    units = checkpointed(units.select("unit", "n").repartition(parallelism(spark), "unit"))
+    # As many parts as the counts have: every pass is one task a part, and there are dozens.
+    units = checkpointed(units.select("unit", "n"))
     singles = units.select("n", F.explode(F.split("unit", "")).alias("piece")).groupBy(
         "piece").agg(F.sum("n").alias("score")).toArrow()
     seeds = substring_seed(units, seed_size, longest).select("piece", "score").toArrow()

@@ -8,6 +8,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models as lib, pre_tokenizers, trainers
 
 from glyphloom.functions import lattice
@@ -392,3 +393,29 @@ def test_unit_counts_are_independent_of_partitions(make_docs):
     texts = ["a,b a", "", "b--b", "a"] * 5
     seen = [sorted(subword.unit_counts(make_docs(texts, parts=p)).collect()) for p in (1, 4, 13)]
     assert seen[0] == seen[1] == seen[2]
+
+
+@pytest.mark.parametrize("train", [bpe.bpe_train, unigram.unigram_train])
+def test_training_tasks_do_not_follow_the_shuffle_partitions(spark, train):
+    texts = [(f"{a}{b}{c}", 1 + len(a)) for a in ("un", "re", "over") for b in (
+        "do", "read", "write", "train") for c in ("ing", "er", "able", "s")]
+    units = spark.createDataFrame(texts, "unit string, n bigint").groupBy("unit").agg(
+        F.sum("n").alias("n"))
+    tracker, found = spark.sparkContext.statusTracker(), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (2, 60):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        group = f"{train.__name__}-{parts}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            model = train(checkpointed(units), 60)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+        stages = [tracker.getStageInfo(s) for j in jobs for s in j.stageIds]
+        found.append((sorted(model.vocab.collect()), len(jobs),
+                      max(s.numTasks for s in stages if s)))
+    assert found[0][0] == found[1][0]
+    assert found[1][1] <= found[0][1] + 5
+    assert found[1][2] < 60
