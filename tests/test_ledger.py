@@ -2,6 +2,7 @@
 
 import json
 import math
+import threading
 from collections import Counter
 
 import pytest
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer, models as lib, pre_tokenizers, trainers
 
 import __spark_entry__
 from glyphloom.functions.text import SPECIALS
-from glyphloom.plans import ledger
+from glyphloom.plans import ledger, tokenizers
 from glyphloom.plans.experiment import Settings
 from glyphloom.sources import corpus
 
@@ -111,3 +112,37 @@ def test_subword_runs_of_the_grid(spark, sf_dir):
     assert len(files) == len(curves) == 50
     assert {(r.tokenizer, r.scorer, r.epoch, r.train_loss) for r in files} == {
         (r.tokenizer, r.scorer, r.epoch, r.train_loss) for r in curves}
+
+
+def test_units_are_counted_once_for_all_subword_tokenizers(docs, tmp_path, monkeypatch):
+    calls = []
+    counted = ledger.unit_counts
+
+    def once(*args):
+        calls.append(args)
+        return counted(*args)
+
+    def never(*_):
+        raise AssertionError("counted again")
+
+    monkeypatch.setattr(ledger, "unit_counts", once)
+    monkeypatch.setattr(tokenizers, "unit_counts", never)
+    book = ledger.Ledger.of(docs, SMALL, str(tmp_path))
+    made = [book.tokenizer(name, 40) for name in ("bpe", ledger.RAW, "unigram")]
+    assert len(calls) == 1
+    monkeypatch.undo()
+    train = corpus.pick_split(docs, "train")
+    for name, got in zip(("bpe", "bpe", "unigram"), made):
+        alone = tokenizers.train_tokenizer(name, train, 40)
+        assert sorted(got.vocab.collect()) == sorted(alone.vocab.collect())
+
+
+def test_runs_of_a_grid_are_made_side_by_side():
+    met = threading.Barrier(3)
+
+    def make(name):
+        met.wait(20)  # breaks unless all three are under way
+        return name * 2
+
+    assert list(ledger.side_by_side(make, "cab").items()) == [("c", "cc"), ("a", "aa"), ("b", "bb")]
+    assert ledger.side_by_side(make, []) == {}
